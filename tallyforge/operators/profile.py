@@ -76,7 +76,7 @@ def with_verdicts(states: DataFrame, checks: Sequence[Check]) -> DataFrame:
     inside = F.coalesce((F.col("num") >= low) & (F.col("num") <= high), F.lit(False))
     return states.select(
         "*", (F.col("num").isNull() & F.col("txt").isNull()).alias("is_null"), inside.alias("in_range"),
-        (F.col("num").isNotNull() & ~inside).alias("out_of_range"), F.coalesce(~F.col("txt").rlike(pattern), F.lit(False)).alias("malformed"),
+        (F.col("num").isNotNull() & ~inside).alias("out_of_range"), F.coalesce(~F.rlike(F.col("txt"), pattern), F.lit(False)).alias("malformed"),
     )
 
 
