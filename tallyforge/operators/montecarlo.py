@@ -12,10 +12,6 @@ from tallyforge.functions import composition as comp
 from tallyforge.functions import rng
 
 
-def _normal(seed: int, first_call: Column) -> Column:
-    return rng.normal(rng.uniform(seed, first_call), rng.uniform(seed, first_call + 1))
-
-
 def simulate(
     ridings: DataFrame, residuals: DataFrame, parts: Sequence[str], group: str, n_draws: int, seed: int = 1,
     systemic_sd: float = 0.1, region_sd: float = 0.05, residual_scale: float = 1.0,
@@ -28,20 +24,29 @@ def simulate(
     shares the first part wins. Ridings without residuals in their group get none; without a region, no regional shock.
     """
     k = len(parts) - 1
-    calls = F.lit(2 * k) + 2 * k * F.col("n_regions") + F.col("n_ridings")
-    drawn = ridings.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1)))).withColumn("base", F.col("draw").cast("long") * calls)
-    pick = rng.uniform(seed, F.col("base") + 2 * k + 2 * k * F.col("n_regions") + F.col("ord") + 1)
+    coords = range(k)
+    draws = F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1)))
+    base = F.col("draw").cast("long") * (F.lit(2 * k) + 2 * k * F.col("n_regions") + F.col("n_ridings"))
+
+    # the shocks are the same for all ridings of a region: they are drawn once and joined
+    areas = ridings.select(group, "region", "region_ord", "n_regions", "n_ridings").distinct().withColumn("draw", draws).withColumn("base", base)
+    first = lambda region: F.col("base") + (2 * k + 2 * k * F.col("region_ord") if region else 0)
+    calls = {f"{kind}{j}{half}": first(kind == "g") + 2 * j + i + 1 for kind in "sg" for j in coords for i, half in enumerate("ab")}
+    areas = rng.with_uniforms(areas, seed, calls)
+    own = F.when(F.col("region").isNotNull(), F.lit(region_sd)).otherwise(F.lit(0.0))
+    normal = lambda kind, j: rng.normal(F.col(f"{kind}{j}a"), F.col(f"{kind}{j}b"))
+    areas = areas.select(group, F.col("region").alias("_region"), "draw", *[(normal("s", j) * systemic_sd + normal("g", j) * own).alias(f"shock{j}") for j in coords])
+
     pools = residuals.groupBy(group).agg(F.max("n_residuals").alias("pool"))
-    drawn = drawn.join(pools, group, "left").withColumn("idx", F.floor(pick * F.col("pool")))
-    joined = drawn.join(residuals.drop("n_residuals"), [group, "idx"], "left")
-    moved = []
-    for j, z in enumerate(comp.ilr([F.col(p) for p in parts])):
-        common = _normal(seed, F.col("base") + 2 * j + 1) * systemic_sd
-        regional = _normal(seed, F.col("base") + 2 * k + 2 * k * F.col("region_ord") + 2 * j + 1) * region_sd
-        moved.append(z + common + F.coalesce(F.when(F.col("region").isNotNull(), regional), F.lit(0.0)) + F.coalesce(F.col(f"r{j + 1}") * residual_scale, F.lit(0.0)))
-    shares = comp.ilr_inverse(moved)
-    best = F.greatest(*shares)
-    winner = F.coalesce(*[F.when(s == best, F.lit(p.upper())) for p, s in zip(parts, shares)])
+    drawn = ridings.withColumn("draw", draws).withColumn("base", base).withColumns({f"z{j}": z for j, z in enumerate(comp.ilr([F.col(p) for p in parts]))})
+    drawn = rng.with_uniforms(drawn, seed, {"pick": F.col("base") + 2 * k + 2 * k * F.col("n_regions") + F.col("ord") + 1})
+    drawn = drawn.join(pools, group, "left").withColumn("idx", F.floor(F.col("pick") * F.col("pool")))
+    joined = drawn.join(residuals.drop("n_residuals"), [group, "idx"], "left").join(areas.withColumnRenamed(group, "_group"), (F.col(group) == F.col("_group")) & F.col("region").eqNullSafe(F.col("_region")) & (drawn["draw"] == areas["draw"])).drop(areas["draw"])
+    joined = joined.withColumns({f"y{j}": F.col(f"z{j}") + F.col(f"shock{j}") + F.coalesce(F.col(f"r{j + 1}") * residual_scale, F.lit(0.0)) for j in coords})
+    rows = comp.basis(len(parts))
+    joined = joined.withColumns({f"l{i}": comp.total([F.lit(rows[j][i]) * F.col(f"y{j}") for j in coords if rows[j][i]]) for i in range(len(parts))})
+    best = F.greatest(*[F.col(f"l{i}") for i in range(len(parts))])  # the order of log-ratios is that of shares
+    winner = F.coalesce(*[F.when(F.col(f"l{i}") == best, F.lit(p.upper())) for i, p in enumerate(parts)])
     return joined.select(group, "draw", "riding", "region", winner.alias("winner"))
 
 

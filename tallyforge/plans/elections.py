@@ -158,7 +158,7 @@ def departure_centred(spark: SparkSession, folder: str) -> DataFrame:
 _PAIRED = f"{_DEP}, pr AS (SELECT a.riding, {', '.join(f'a.{c} AS a_{c}, b.{c} AS b_{c}' for c in t.COORDS)} FROM dep a JOIN nxt USING (boundary_year) JOIN dep b ON b.boundary_year = nxt.after_year AND b.riding = a.riding)"
 
 
-@query(f"WITH {_PAIRED} " + " UNION ALL ".join(f"SELECT '{c}' AS coord, count(*) AS n, round(sum(a_{c} * b_{c}) / nullif(sum(a_{c} * a_{c}), 0), 6) AS rho, round(1 - sum((b_{c} - a_{c}) * (b_{c} - a_{c})) / nullif(sum(b_{c} * b_{c}), 0), 6) AS r2 FROM pr" for c in t.COORDS))
+@query(f"WITH {_PAIRED} " + " UNION ALL ".join(f"SELECT '{c}' AS coord, count(*) AS n, round(sum(a_{c} * b_{c}) / nullif(sum(a_{c} * a_{c}), 0), 6) AS rho, round(1 - sum((b_{c} - a_{c}) * (b_{c} - a_{c})) / nullif(sum(b_{c} * b_{c}), 0), 6) AS r2 FROM pr HAVING count(*) > 0" for c in t.COORDS))
 def pooled_persistence(spark: SparkSession, folder: str) -> DataFrame:
     """Slope through the origin of a riding's departure on its previous one, and the fit against no change, per coordinate."""
     dep = _departures(spark, folder)
