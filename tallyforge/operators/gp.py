@@ -141,13 +141,13 @@ def trend(observations: DataFrame, members: DataFrame, targets: DataFrame, serie
                 kernel = lambda a, b, r=row: changepoint_kernel(a, b, r.length, r.rho, r.dilation)
                 low, alpha, _, mean, scale = fit(x, y, row.noise * rel, kernel)
                 m, s = predict(low, alpha, mean, scale, kernel(new, x), np.ones(len(new)))
-                yield pd.DataFrame({**{c: getattr(row, c) for c in series}, "bin_day": grid[:, 0].astype("int32"), "weight": row.weight, "m": m, "s": s})
+                yield pd.DataFrame({**{c: getattr(row, c) for c in series}, "bin_day": grid[:, 0].astype("int32"), "_w": row.weight, "_m": m, "_s": s})
 
     kinds = dict(observations.dtypes)
-    schema = ", ".join([*(f"{c} {kinds[c]}" for c in series), "bin_day int, weight double, m double, s double"])
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in series), "bin_day int, _w double, _m double, _s double"])
     parts = _cells(observations, members, series).mapInPandas(run, schema)
-    mean = F.sum(F.col("weight") * F.col("m"))
-    second = F.sum(F.col("weight") * (F.col("s") * F.col("s") + F.col("m") * F.col("m")))
-    return parts.groupBy(*series, "bin_day").agg(mean.alias("mean"), second.alias("second")).select(
-        *series, "bin_day", "mean", F.sqrt(F.greatest(F.col("second") - F.col("mean") * F.col("mean"), F.lit(1e-12))).alias("sd")
+    mean = F.sum(F.col("_w") * F.col("_m"))
+    second = F.sum(F.col("_w") * (F.col("_s") * F.col("_s") + F.col("_m") * F.col("_m")))
+    return parts.groupBy(*series, "bin_day").agg(mean.alias("mean"), second.alias("_second")).select(
+        *series, "bin_day", "mean", F.sqrt(F.greatest(F.col("_second") - F.col("mean") * F.col("mean"), F.lit(1e-12))).alias("sd")
     )

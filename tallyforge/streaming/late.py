@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.operators.late import CUTOFF_DAYS
-from tallyforge.streaming.state import path_of, read_version, write_version
+from tallyforge.streaming.state import latest_version, path_of, read_version, write_version
 
 _POLLS = "poll_id string, scraped_at timestamp_ntz, poll_date date, sample_size int"
 _WEEKS = "period_start date, n_polls long, sample_sum long, version long"
@@ -60,8 +60,7 @@ def run_available(stream: DataFrame, folder: str) -> int:
     """Process all that is there and return how many batches the state has seen."""
     query = stream.writeStream.foreachBatch(process(folder)).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    last = query.lastProgress
-    return 0 if last is None else int(last["batchId"]) + 1
+    return latest_version(stream.sparkSession, f"{folder}/weeks")
 
 
 def weekly(stream: DataFrame, folder: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -16,6 +19,15 @@ def read_version(spark: SparkSession, folder: str, version: int, schema: str) ->
     return spark.read.schema(schema).parquet(path_of(folder, version))
 
 
+def latest_version(spark: SparkSession, folder: str) -> int:
+    """The highest version written, 0 if there is none. A run without new data adds none, so progress reports can't tell."""
+    try:
+        files = spark.read.schema("_ int").parquet(folder).inputFiles()
+    except AnalysisException:
+        return 0
+    return max((int(m[1]) for f in files if (m := re.search(r"version=(\d+)/", f))), default=0)
+
+
 def write_version(df: DataFrame, folder: str, version: int) -> None:
     """Write a version; a batch that runs again overwrites what it wrote."""
     df.write.mode("overwrite").parquet(path_of(folder, version))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.streaming.state import read_version, write_version
+from tallyforge.streaming.state import latest_version, read_version, write_version
 
 _STATE = "title string, revid long, fetched_at timestamp_ntz, html string, n_changes long"
 
@@ -44,5 +44,4 @@ def watch(stream: DataFrame, folder: str, max_null_html: float = 1.0) -> DataFra
     spark = stream.sparkSession
     query = stream.writeStream.foreachBatch(process(folder, max_null_html)).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    last = query.lastProgress
-    return read_version(spark, folder + "/pages", 0 if last is None else int(last["batchId"]) + 1, _STATE)
+    return read_version(spark, folder + "/pages", latest_version(spark, folder + "/pages"), _STATE)
