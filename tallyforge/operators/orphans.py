@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions.text import is_blank, name_key, riding_code, trim_spaces
-from tallyforge.session import broadcast_if_small
+from tallyforge.session import broadcast_if_small, checkpoint
 
 KEY = ["scope", "ref_key"]
 
@@ -69,7 +69,7 @@ def _covered(days: DataFrame, listings: DataFrame, how: str) -> DataFrame:
 def split_heavy(refs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """References pre-aggregated per key and day, and the fewer than HEAVY_PARTS keys above their share of all rows."""
     usage = refs.groupBy(*KEY, "day").agg(F.count(F.lit(1)).alias("n"))
-    total = refs.count()
+    total = usage.agg(F.sum("n")).first()[0] or 0
     heavy = usage.groupBy(*KEY).agg(F.sum("n").alias("n")).where(F.col("n") * HEAVY_PARTS > F.lit(total)).select(*KEY)
     return usage, heavy
 
@@ -88,7 +88,9 @@ def orphan_rows(refs: DataFrame, listings: DataFrame) -> DataFrame:
 
     Duplicates each come out. Empty references or listings work: with no listing every reference is an orphan.
     """
+    refs, listings = checkpoint(refs), checkpoint(listings)  # read several times below; this keeps the plans small
     usage, heavy = split_heavy(refs)
+    usage, heavy = checkpoint(usage), checkpoint(heavy)
     hot, cold = orphan_days(usage, heavy, listings)
     heavy = F.broadcast(heavy)
 
