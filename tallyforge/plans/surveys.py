@@ -382,3 +382,47 @@ def main_parts_closed(spark: SparkSession, folder: str) -> DataFrame:
     """Sub-composition of the five named parties; unmeasured ones stay null."""
     s = comp.total([F.coalesce(F.col(p), F.lit(0.0)) for p in t.PARTS[:5]])
     return t.wide(spark, folder).where(s > 0).select("poll_id", *[F.round(F.col(p) / s, 6).alias(p) for p in t.PARTS[:5]])
+
+
+_FOLDS = 5
+
+
+@query(f"""WITH {t.POLL_SQL} SELECT poll_id, CAST((ascii(substr(sha1(poll_id), 1, 1)) * 31 + ascii(substr(sha1(poll_id), 2, 1))) % {_FOLDS} AS INTEGER) AS fold FROM poll""")
+def fold_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Fold of each poll from its id's hash: the same on any run and partitioning, without ordering all polls."""
+    digest = F.sha1("poll_id")
+    number = F.ascii(F.substring(digest, 1, 1)) * 31 + F.ascii(F.substring(digest, 2, 1))
+    return t.polls(spark, folder).select("poll_id", (number % _FOLDS).alias("fold"))
+
+
+@query(f"""WITH {t.POLL_SQL}, {t.WIDE_SQL}, busy AS (SELECT firm FROM poll GROUP BY firm ORDER BY count(*) DESC, firm LIMIT 1),
+  j AS (SELECT wide.*, alb + CASE WHEN firm IN (SELECT firm FROM busy) THEN 0.02e0 ELSE 0 END AS alb2 FROM wide JOIN poll USING (poll_id) WHERE alb IS NOT NULL AND alb < 0.9)
+  SELECT poll_id, round(alb2, 9) AS alb, {', '.join(f'round({p} * (1 - alb2) / (1 - alb), 9) AS {p}' for p in t.PARTS[1:])} FROM j""")
+def bias_injection(spark: SparkSession, folder: str) -> DataFrame:
+    """Two points added to one part for the busiest firm, the other parts shrunk to make room: a synthetic bias with a known answer."""
+    p = t.polls(spark, folder)
+    busiest = p.groupBy("firm").count().orderBy(F.col("count").desc(), "firm").first()
+    biased = F.when(F.col("firm") == F.lit(busiest["firm"] if busiest else None), F.col("alb") + 0.02).otherwise(F.col("alb"))
+    joined = t.wide(spark, folder).join(p.select("poll_id", "firm"), "poll_id").where("alb < 0.9").withColumn("alb2", biased)
+    room = (1 - F.col("alb2")) / (1 - F.col("alb"))
+    return joined.select("poll_id", F.round("alb2", 9).alias("alb"), *[F.round(F.col(c) * room, 9).alias(c) for c in t.PARTS[1:]])
+
+
+@query(f"""WITH {t.POLL_SQL}, {t.COMP_SQL}, b AS (SELECT firm, {', '.join(f'avg(ln({p})) AS l_{p}' for p in t.PARTS)} FROM comp JOIN poll USING (poll_id) GROUP BY firm),
+  g AS (SELECT {', '.join(f'avg(ln({p})) AS g_{p}' for p in t.PARTS)} FROM comp),
+  f AS (SELECT comp.poll_id, {', '.join(f'{p} * exp(0.5e0 * (g_{p} - l_{p})) AS {p}' for p in t.PARTS)} FROM comp JOIN poll USING (poll_id) JOIN b USING (firm), g)
+  SELECT poll_id, {', '.join(f"round({p} / ({' + '.join(t.PARTS)}), 9) AS {p}" for p in t.PARTS)} FROM f""")
+def part_reweighting(spark: SparkSession, folder: str) -> DataFrame:
+    """Every part times a factor of its firm, closed again, as turnout factors are applied: half the mean log gap to all firms."""
+    c = t.compositions(spark, folder).join(t.polls(spark, folder).select("poll_id", "firm"), "poll_id")
+    everyone = c.agg(*[F.avg(F.log(p)).alias(p) for p in t.PARTS]).first()
+    own = c.groupBy("firm").agg(*[F.avg(F.log(p)).alias(f"l_{p}") for p in t.PARTS])
+    moved = c.join(own, "firm").select("poll_id", *[(F.col(p) * F.exp(0.5 * (F.lit(everyone[p]) - F.col(f"l_{p}")))).alias(p) for p in t.PARTS])
+    return moved.select("poll_id", *t.named(comp.closure(t.columns(t.PARTS)), t.PARTS, 9))
+
+
+@query(f"""WITH {t.POLL_SQL}, m AS (SELECT firm, date_trunc('month', poll_date) AS month, count(*) AS n FROM poll WHERE poll_date IS NOT NULL GROUP BY 1, 2)
+  SELECT CAST(month AS DATE) AS month, count(*) AS firms, CAST(sum(n) AS BIGINT) AS polls, CAST(max(n) AS BIGINT) AS busiest FROM m GROUP BY 1""")
+def firms_per_month(spark: SparkSession, folder: str) -> DataFrame:
+    m = t.polls(spark, folder).where("poll_date IS NOT NULL").groupBy("firm", F.trunc("poll_date", "month").alias("month")).agg(F.count(F.lit(1)).alias("n"))
+    return m.groupBy("month").agg(F.count(F.lit(1)).alias("firms"), F.sum("n").alias("polls"), F.max("n").alias("busiest"))
