@@ -26,7 +26,7 @@ def _profile(spark: SparkSession, folder: str) -> DataFrame:
     states = profile.column_states(read_table(spark, folder, "polls"), profile.POLL_CHECKS).unionByName(
         profile.column_states(read_table(spark, folder, "poll_shares"), profile.SHARE_CHECKS)
     )
-    return profile.load_profile(states, profile.POLL_CHECKS + profile.SHARE_CHECKS)
+    return profile.load_profile(checkpoint(states), profile.POLL_CHECKS + profile.SHARE_CHECKS)  # the states are what a later load merges into
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
