@@ -19,10 +19,15 @@ def _pieces(line: Column) -> Column:
     return F.split(F.replace(F.coalesce(line, F.lit("")), F.lit(_MARK), F.lit("")), '"')
 
 
+def _middle(pieces: Column) -> Column:
+    """All pieces but the first and last; lambdas over it refer to nothing outside, which would be worked out anew for each piece."""
+    return F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 2, F.lit(0)))
+
+
 def well_quoted(pieces: Column) -> Column:
     """Quotes are paired, open right after a separator and close right before one, or are doubled inside a quoted field."""
     n = F.size(pieces)
-    outside = F.filter(pieces, lambda p, i: (i % 2 == 0) & (i > 0) & (i < n - 1))
+    outside = F.filter(_middle(pieces), lambda p, i: i % 2 == 1)
     first, last = F.get(pieces, F.lit(0)), F.get(pieces, n - 1)
     return (n == 1) | (
         (n % 2 == 1) & ((first == "") | first.endswith(","))
@@ -33,12 +38,10 @@ def well_quoted(pieces: Column) -> Column:
 
 def fields(pieces: Column) -> Column:
     """Field values of a well-quoted record: outer quotes off, doubled ones single, commas and line breaks inside kept."""
-    n = F.size(pieces)
-    marked = F.transform(
-        pieces,
-        lambda p, i: F.when(i % 2 == 1, p).when((p == "") & (i > 0) & (i < n - 1), F.lit('"')).otherwise(F.replace(p, F.lit(","), F.lit(_MARK))),
-    )
-    return F.split(F.array_join(marked, ""), _MARK)
+    apart = lambda p: F.replace(p, F.lit(","), F.lit(_MARK))
+    middle = F.transform(_middle(pieces), lambda p, i: F.when(i % 2 == 0, p).when(p == "", F.lit('"')).otherwise(apart(p)))
+    last = F.when(F.size(pieces) > 1, apart(F.element_at(pieces, -1))).otherwise("")
+    return F.split(F.concat(apart(F.get(pieces, F.lit(0))), F.array_join(middle, ""), last), _MARK)
 
 
 def valid_sample(text: Column) -> Column:
