@@ -25,7 +25,7 @@ N_DRAWS = 200
 
 _RID = f"{t.RESULT_SQL}, {t.riding_sql('rid', 'boundary_year, riding')}, {t.riding_sql('prov', 'boundary_year')}"
 _NEXT = "nxt(boundary_year, after_year) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in zip(MAPS, MAPS[1:])) + ")"
-_rounded = lambda names, d=6: ", ".join(f"round({n}, {d}) AS {n}" for n in names)
+_rounded = lambda names, d=6: ", ".join(f"round({n}, {d}) + 0e0 AS {n}" for n in names)
 _clr = lambda alias, p: f"(ln({alias}.{p}) - (" + " + ".join(f"ln({alias}.{q})" for q in t.PARTS) + ") / 6)"
 
 

@@ -23,7 +23,7 @@ CAMPAIGNS = [("2014-03-05", "2014-04-07"), ("2018-08-23", "2018-10-01"), ("2022-
 CYCLES = [("2014-04-07", "2014"), ("2018-10-01", "2018"), ("2022-10-03", "2022")]
 SHRINK = 5.0
 
-_R = lambda e, n, d=6: f"round({e}, {d}) AS {n}"
+_R = lambda e, n, d=6: f"round({e}, {d}) + 0e0 AS {n}"
 _WEEK_RES = f"""{t.POLL_SQL}, {t.CELL_SQL},
 obs AS (SELECT c.poll_id, c.party_code, c.x, p.firm, p.sample_size, CAST(date_trunc('week', p.poll_date) AS DATE) AS week FROM cell c JOIN poll p USING (poll_id) WHERE p.poll_date IS NOT NULL),
 wk AS (SELECT week, party_code, avg(x) AS m, count(*) AS n FROM obs GROUP BY 1, 2),

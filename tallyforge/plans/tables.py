@@ -42,7 +42,8 @@ def columns(names: list[str]) -> list[Column]:
 
 
 def named(values: list[Column], names: list[str], digits: int | None = None) -> list[Column]:
-    return [(v if digits is None else F.round(v, digits)).alias(n) for v, n in zip(values, names)]
+    """Values under their names, rounded where digits are given; a rounded zero has no sign."""
+    return [(v if digits is None else F.round(v, digits) + F.lit(0.0)).alias(n) for v, n in zip(values, names)]
 
 
 def compositions(spark: SparkSession, folder: str) -> DataFrame:
