@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallyforge.functions import rng, stats
+
 # The grids of the search.
 LENGTH_SCALES = [10, 20, 30, 50, 75, 110, 160, 230, 330, 470, 680, 1000, 1500, 2200]
 NOISE_SCALES = [0.005, 0.01, 0.02, 0.05, 0.1, 0.25, 0.5, 1, 2, 4, 8]
@@ -22,6 +24,8 @@ RHOS = [0.15, 0.4, 0.7, 1.0]
 DILATIONS = [1, 2, 4, 8, 16]
 #: Noise scales within this of the best log likelihood go on to the second stage; members below this share of the weight are dropped.
 KEEP_NATS, MIN_WEIGHT = 4.0, 1e-3
+#: Variance share of the fast part in the kernel of two scales.
+FAST_SHARE = 0.2
 
 
 def changepoint_kernel(a: np.ndarray, b: np.ndarray, length: float, rho: float, dilation: float) -> np.ndarray:
@@ -31,6 +35,24 @@ def changepoint_kernel(a: np.ndarray, b: np.ndarray, length: float, rho: float,
     return (1 + s) * np.exp(-s) * rho ** np.abs(a[:, 1][:, None] - b[:, 1])
 
 
+def _clock(x: np.ndarray, dilation: float) -> np.ndarray:
+    return x[:, 0] + (dilation - 1) * x[:, 2]
+
+
+def two_scale_kernel(a: np.ndarray, b: np.ndarray, length: float, rho: float, dilation: float) -> np.ndarray:
+    """The changepoint kernel and a fast exponential one of a tenth of its length scale, which has FAST_SHARE of the variance."""
+    dt = np.abs(_clock(a, dilation)[:, None] - _clock(b, dilation))
+    return (1 - FAST_SHARE) * changepoint_kernel(a, b, length, rho, dilation) + FAST_SHARE * np.exp(-10 * dt / length)
+
+
+def wiener_kernel(a: np.ndarray, b: np.ndarray, length: float, rho: float, dilation: float) -> np.ndarray:
+    """A random walk on the campaign clock with a start of unit variance and one more unit per length scale; regimes play no part."""
+    return 1 + np.maximum(np.minimum(_clock(a, dilation)[:, None], _clock(b, dilation)), 0) / length
+
+
+KERNELS = {"changepoint": changepoint_kernel, "two_scale": two_scale_kernel, "wiener": wiener_kernel}
+
+
 def regional_kernel(days_a: np.ndarray, kind_a: np.ndarray, days_b: np.ndarray, kind_b: np.ndarray, weights: dict[int, float], national: np.ndarray, regional: np.ndarray) -> np.ndarray:
     """Observations of a whole (kind -1) and its regions: national curve plus, between regions, w_r times or delta_rs times the regional one."""
     w = np.array([weights.get(int(k), 0.0) for k in np.concatenate([kind_a, kind_b])])
@@ -67,8 +89,7 @@ def binned(observations: DataFrame, series: Sequence[str], day: str, value: str,
 
 def _cells(observations: DataFrame, grid: DataFrame, series: Sequence[str]) -> DataFrame:
     """Each grid row with its series as arrays, one per bin; a series is as long as the calendar."""
-    packed = observations.groupBy(*series).agg(F.array_sort(F.collect_list(F.struct("bin_day", "regime", "campaign", "y", "v"))).alias("obs"))
-    return grid.join(packed, list(series)).repartition(*[F.col(c) for c in (*series, "length", "noise")])
+    return grid.join(_packed(observations, series), list(series)).repartition(*[F.col(c) for c in (*series, "length", "noise")])
 
 
 def _unpack(obs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -151,3 +172,69 @@ def trend(observations: DataFrame, members: DataFrame, targets: DataFrame, serie
     return parts.groupBy(*series, "bin_day").agg(mean.alias("mean"), second.alias("_second")).select(
         *series, "bin_day", "mean", F.sqrt(F.greatest(F.col("_second") - F.col("mean") * F.col("mean"), F.lit(1e-12))).alias("sd")
     )
+
+
+def _packed(observations: DataFrame, series: Sequence[str]) -> DataFrame:
+    rows = F.struct("bin_day", "regime", "campaign", "y", "v")
+    return observations.groupBy(*series).agg(F.array_sort(F.collect_list(rows)).alias("obs"))  # as long as the calendar
+
+
+def sequential_tasks(observations: DataFrame, series: Sequence[str], min_train: int = 8) -> DataFrame:
+    """Leave-future-out splits: every bin after the first min_train is foretold from those before it. Shorter series have none.
+
+    One row per series and split: (series, task, train, test).
+    """
+    cut = _packed(observations, series).where(F.size("obs") > min_train).withColumn("task", F.explode(F.sequence(F.lit(min_train), F.size("obs") - 1)))
+    return cut.select(*series, "task", F.slice("obs", 1, F.col("task")).alias("train"), F.slice("obs", F.col("task") + 1, 1).alias("test"))
+
+
+def fold_tasks(observations: DataFrame, series: Sequence[str], folds: int = 5, seed: int = 1) -> DataFrame:
+    """Random folds of bins, each foretold from the others: (series, task, train, test). Splits with an empty side are left out."""
+    fold = lambda o: F.floor(rng.uniform(seed, o["bin_day"].cast("long")) * folds).cast("int")
+    cut = _packed(observations, series).withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
+    cut = cut.select(*series, "task", F.filter("obs", lambda o: fold(o) != F.col("task")).alias("train"), F.filter("obs", lambda o: fold(o) == F.col("task")).alias("test"))
+    return cut.where("size(train) > 0 AND size(test) > 0")
+
+
+def held_out(tasks: DataFrame, series: Sequence[str], models: Sequence[tuple[str, float, float, float, float]]) -> DataFrame:
+    """Predictions of the held-out bins: (series, kernel, task, bin_day, y, mean, sd), the sd with observation noise.
+
+    tasks: as from `sequential_tasks` or `fold_tasks`; models: (kernel, length, noise, rho, dilation), one per kernel.
+    Splits that can't be factored are left out. Each (split, model) is one row of work.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples():
+                x, y, rel = _unpack(row.train)
+                rows = np.array([(o["bin_day"], o["regime"], o["campaign"], o["y"], o["v"]) for o in row.test], dtype=float)
+                new = rows[:, :3] - np.array([float(row.train[0]["bin_day"]), 0.0, 0.0])
+                kernel = lambda a, b, r=row: KERNELS[r.kernel](a, b, r.length, r.rho, r.dilation)
+                try:
+                    low, alpha, _, mean, scale = fit(x, y, row.noise * rel, kernel)
+                except np.linalg.LinAlgError:
+                    continue
+                m, s = predict(low, alpha, mean, scale, kernel(new, x), np.diag(kernel(new, new)))
+                noise = row.noise * rows[:, 4] / min(o["v"] for o in row.train)
+                yield pd.DataFrame({
+                    **{c: getattr(row, c) for c in series}, "kernel": row.kernel, "task": row.task, "bin_day": rows[:, 0].astype("int32"),
+                    "y": rows[:, 3], "mean": m, "sd": np.sqrt(s * s + scale * scale * noise),
+                })
+
+    kinds = dict(tasks.dtypes)
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in series), "kernel string, task int, bin_day int, y double, mean double, sd double"])
+    names = ["kernel", "length", "noise", "rho", "dilation"]
+    model = F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, m)]) for m in models]))
+    work = tasks.withColumn("_model", model).select(*tasks.columns, "_model.*")
+    return work.repartition(*[F.col(c) for c in (*series, "kernel", "task")]).mapInPandas(run, schema)
+
+
+def scores(predictions: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Held-out accuracy per key: (keys, n, mae, lpd, coverage90, crps), the last three for the normal predictive."""
+    z = (F.col("y") - F.col("mean")) / F.col("sd")
+    density = F.exp(-z * z / 2) / np.sqrt(2 * np.pi)
+    crps = F.col("sd") * (z * (2 * stats.normal_cdf(z) - 1) + 2 * density - 1 / np.sqrt(np.pi))
+    return predictions.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("y") - F.col("mean"))).alias("mae"), F.avg(-z * z / 2 - F.log("sd") - 0.5 * np.log(2 * np.pi)).alias("lpd"),
+        F.avg((F.abs(z) <= 1.6449).cast("double")).alias("coverage90"), F.avg(crps).alias("crps"),
+    )

@@ -46,3 +46,24 @@ def gp_trend(spark: SparkSession, folder: str) -> DataFrame:
     members = gp.ensemble(gp.two_stage_grid(obs, SERIES, LENGTHS, NOISES, RHOS, DILATIONS), SERIES)
     targets = _with_axis(obs.select("bin_day").distinct())
     return gp.trend(obs, members, targets, SERIES).withColumns({"mean": F.round("mean", 6), "sd": F.round("sd", 6)})
+
+
+#: The models compared on held-out bins, all on the same scales.
+MODELS = [("changepoint", 470.0, 0.5, 0.4, 4.0), ("two_scale", 470.0, 0.5, 0.4, 4.0), ("wiener", 470.0, 0.5, 1.0, 4.0)]
+
+
+def _scored(tasks: DataFrame) -> DataFrame:
+    table = gp.scores(gp.held_out(tasks, SERIES, MODELS), [*SERIES, "kernel"])
+    return table.withColumns({c: F.round(c, 6) for c in ("mae", "lpd", "coverage90", "crps")})
+
+
+@query()
+def gp_sequential(spark: SparkSession, folder: str) -> DataFrame:
+    """Each bin foretold from the past alone, under three kernels."""
+    return _scored(gp.sequential_tasks(_observations(spark, folder), SERIES))
+
+
+@query()
+def gp_folds(spark: SparkSession, folder: str) -> DataFrame:
+    """Bins foretold from the other folds, under three kernels."""
+    return _scored(gp.fold_tasks(_observations(spark, folder), SERIES))

@@ -230,3 +230,31 @@ def test_watch_keeps_the_newest_and_guards_stop_before_writing(spark, tmp_path):
     with pytest.raises(Exception, match="pages are empty"):
         watch.watch(stream(), state, max_null_html=0.5)
     assert watch.latest_version(spark, state + "/pages") == 2
+
+
+def test_held_out_bins_are_foretold_from_the_others(spark):
+    rng = np.random.default_rng(3)
+    rows = [("s", int(7 * i), int(i > 6), 0, float(np.sin(i / 3) + rng.normal() / 10), 0.01 + 0.01 * (i % 3)) for i in range(12)]
+    rows += [("short", 0, 0, 0, 1.0, 0.1)]
+    obs = spark.createDataFrame(rows, "s string, bin_day int, regime int, campaign int, y double, v double")
+    models = [("changepoint", 40.0, 0.2, 0.5, 2.0), ("two_scale", 40.0, 0.2, 0.5, 2.0), ("wiener", 40.0, 0.2, 1.0, 2.0)]
+    tasks = gp.sequential_tasks(obs, ["s"], 8)
+    found = {(r.kernel, r.bin_day): r for r in gp.held_out(tasks, ["s"], models).collect()}
+    assert {k[1] for k in found} == {56, 63, 70, 77} and len(found) == 12
+    data = np.array([r[1:] for r in rows[:-1]], dtype=float)
+    for name, length, noise, rho, dilation in models:
+        k = lambda a, b: gp.KERNELS[name](a, b, length, rho, dilation)  # noqa: B023, E731
+        x, y, v = data[:10, :3], data[:10, 3], data[:10, 4]
+        inverse = np.linalg.inv(k(x, x) + np.diag(noise * v / v.min()))
+        new = data[10:11, :3]
+        cross = k(new, x)
+        mean = y.mean() + cross @ inverse @ (y - y.mean())
+        var = y.std() ** 2 * (k(new, new) - cross @ inverse @ cross.T + noise * data[10, 4] / v.min())
+        assert found[name, 70].mean == pytest.approx(float(mean[0]), abs=1e-6)
+        assert found[name, 70].sd == pytest.approx(float(np.sqrt(var[0, 0])), abs=1e-6)
+    folds = gp.fold_tasks(obs.where("s = 's'"), ["s"], 3).collect()
+    assert sorted(o.bin_day for f in folds for o in f.test) == [r[1] for r in rows[:-1]]
+    assert all(len(f.train) + len(f.test) == 12 for f in folds)
+    table = gp.scores(gp.held_out(tasks, ["s"], models[:1]), ["s"]).collect()
+    assert len(table) == 1 and table[0].n == 4 and table[0].crps > 0
+    assert gp.held_out(gp.sequential_tasks(obs.limit(0), ["s"]), ["s"], models).count() == 0
