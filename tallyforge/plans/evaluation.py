@@ -8,10 +8,11 @@ from pyspark.sql.window import Window
 
 from tallyforge.functions import composition as comp
 from tallyforge.functions import stats
-from tallyforge.operators import relational
+from tallyforge.operators import regression, relational
 from tallyforge.plans import elections as e
 from tallyforge.plans import tables as t
 from tallyforge.plans.registry import Catalogue
+from tallyforge.session import checkpoint
 
 CATALOGUE = Catalogue()
 query = CATALOGUE.query
@@ -240,3 +241,15 @@ def neighbour_corr(spark: SparkSession, folder: str) -> DataFrame:
     ends = pairs.join(value.toDF("a", "x"), "a").join(value.toDF("b", "y"), "b")
     both = ends.select(F.explode(F.array(F.struct(F.col("x").alias("p"), F.col("y").alias("q")), F.struct(F.col("y").alias("p"), F.col("x").alias("q")))).alias("d")).select("d.*")
     return both.agg(F.floor(F.count(F.lit(1)) / 2).alias("n_pairs"), F.round(F.corr("p", "q"), 6).alias("r"))
+
+
+@query()
+def riding_holdout_r2(spark: SparkSession, folder: str) -> DataFrame:
+    """How well a riding's deviation on the next map follows from its coordinates and votes on this one, on held-out halves."""
+    dev = e._deviations(spark, folder)
+    votes = t.ridings(spark, folder).select("boundary_year", "riding", F.log("n_votes").alias("log_votes"))
+    after = _suffixed(dev.withColumnRenamed("boundary_year", "after_year"), "b", t.COORDS, "after_year", "riding")
+    pairs = e._next_map(dev.join(votes, ["boundary_year", "riding"])).join(after, ["after_year", "riding"])
+    pairs = checkpoint(pairs.select("riding", *t.COORDS, "log_votes", *[f"b_{c}" for c in t.COORDS]))  # read by the fit and by its check
+    table = regression.holdout_r2(pairs, "riding", [*t.COORDS, "log_votes"], [f"b_{c}" for c in t.COORDS])
+    return table.withColumns({"r2": F.round("r2", 6), "r2_sd": F.round("r2_sd", 6)})

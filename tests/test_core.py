@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import composition as comp
 from tallyforge.functions import rng, stats, text, timeaxis
-from tallyforge.operators import gp, montecarlo, relational
+from tallyforge.operators import gp, montecarlo, regression, relational
 from tallyforge.sources import files, pages
 from tallyforge.streaming import watch
 
@@ -258,3 +258,27 @@ def test_held_out_bins_are_foretold_from_the_others(spark):
     table = gp.scores(gp.held_out(tasks, ["s"], models[:1]), ["s"]).collect()
     assert len(table) == 1 and table[0].n == 4 and table[0].crps > 0
     assert gp.held_out(gp.sequential_tasks(obs.limit(0), ["s"]), ["s"], models).count() == 0
+
+
+def test_ridge_on_halves_equals_the_dense_solution(spark):
+    gen = np.random.default_rng(5)
+    x = gen.normal(size=(60, 2)) * [1, 20]
+    y = 1 + x @ [0.5, -0.1] + gen.normal(size=60) / 5
+    rows = [(f"k{i}", float(a), float(b), float(c), 7.0, "z") for i, ((a, b), c) in enumerate(zip(x, y))]
+    df = spark.createDataFrame([*rows, ("k0", None, 1.0, 1.0, 7.0, "z"), (None, 1.0, 1.0, 1.0, 7.0, "z")], "id string, a double, b double, y double, c double, repeat string")
+    features = ["a", "b", "c"]
+    models = {r.repeat: r for r in regression.half_models(df, "id", features, ["y"], 4, 1.0).collect()}
+    halves = df.dropna().select("id", *[regression.is_train(F.col("id"), F.lit(r), 1).alias(str(r)) for r in range(4)]).collect()
+    fits = []
+    for r, model in models.items():
+        train = np.array([h[str(r)] for h in sorted(halves, key=lambda h: int(h.id[1:]))])
+        full = np.column_stack([x, np.full(60, 7.0)])
+        mean, sd = full[train].mean(0), np.array([*x[train].std(0, ddof=1), 1.0])
+        z = (full - mean) / sd
+        beta = np.linalg.solve(z[train].T @ z[train] + np.eye(3), z[train].T @ (y[train] - y[train].mean()))
+        assert model.slope == pytest.approx((beta / sd).tolist(), abs=1e-8)
+        held = ~train
+        fits.append(1 - ((y[held] - y[train].mean() - z[held] @ beta) ** 2).sum() / ((y[held] - y[train].mean()) ** 2).sum())
+    found = regression.holdout_r2(df, "id", features, ["y"], 4).first()
+    assert found.repeats == 4 and found.r2 == pytest.approx(np.mean(fits)) and found.r2 > 0.9
+    assert regression.holdout_r2(df.limit(0), "id", features, ["y"], 4).count() == 0
