@@ -21,7 +21,7 @@ query = CATALOGUE.query
 # The maps in order.
 MAPS = ["1992", "2001", "2011", "2017", "2026"]
 OPEN_SEAT_FACTOR, MAX_SHIFT, BLEND = 0.118, 0.35, 0.5
-N_DRAWS = 200
+N_DRAWS = 5000
 
 _RID = f"{t.RESULT_SQL}, {t.riding_sql('rid', 'boundary_year, riding')}, {t.riding_sql('prov', 'boundary_year')}"
 _NEXT = "nxt(boundary_year, after_year) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in zip(MAPS, MAPS[1:])) + ")"
