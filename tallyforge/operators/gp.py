@@ -7,6 +7,7 @@ work, spread over the cluster; no task sees more than one series.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -87,9 +88,14 @@ def binned(observations: DataFrame, series: Sequence[str], day: str, value: str,
     return ok.groupBy(*series, number).agg((F.sum(w * F.col(value)) / F.sum(w)).alias("y"), (1 / F.sum(w)).alias("v"), F.count(F.lit(1)).alias("n"))
 
 
+def _spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows of heavy work over all cores; the number is given, as small rows would be put together again."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def _cells(observations: DataFrame, grid: DataFrame, series: Sequence[str]) -> DataFrame:
     """Each grid row with its series as arrays, one per bin; a series is as long as the calendar."""
-    return grid.join(_packed(observations, series), list(series)).repartition(*[F.col(c) for c in (*series, "length", "noise")])
+    return _spread(grid.join(_packed(observations, series), list(series)), *series, "length", "noise", "rho", "dilation")
 
 
 def _unpack(obs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -99,28 +105,69 @@ def _unpack(obs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return x, y, v / v.min()
 
 
-def grid_likelihoods(observations: DataFrame, grid: DataFrame, series: Sequence[str]) -> DataFrame:
-    """Log marginal likelihood of each grid row: (series, length, noise, rho, dilation, lml); cells that can't be factored are left out.
+def log_likelihoods(y: np.ndarray, noises: Sequence[np.ndarray], k: np.ndarray) -> list[float | None]:
+    """Log marginal likelihood as in `fit` for each noise under one kernel matrix, None where it can't be factored.
 
-    observations: (series, bin_day, regime, campaign, y, v); grid: (series, length, noise, rho, dilation).
+    y is a further row of the matrix, so that its factor's last row is the solved vector.
     """
-    columns = [*series, "length", "noise", "rho", "dilation"]
+    n = len(y)
+    z = (y - y.mean()) / (float(y.std()) or 1.0)
+    out = []
+    for noise in noises:
+        whole = np.empty((n + 1, n + 1))
+        whole[:n, :n] = np.where(k < 1e-30, 0.0, k)  # as good as nothing, but subnormal products are slow
+        whole[range(n), range(n)] += noise + 1e-10
+        whole[n, :n] = whole[:n, n] = z
+        whole[n, n] = 1e300
+        try:
+            low = np.linalg.cholesky(whole)
+        except np.linalg.LinAlgError:
+            out.append(None)
+            continue
+        out.append(float(-0.5 * low[n, :n] @ low[n, :n] - np.log(np.diag(low)[:n]).sum() - 0.5 * n * np.log(2 * np.pi)))
+    return out
+
+
+def _likelihoods(packed: DataFrame, grid: DataFrame, keys: Sequence[str], kernel: str) -> DataFrame:
+    """As `grid_likelihoods`, from packed series (keys, obs). The cells of one length scale are one row of work and share their kernel matrices."""
+    columns = [*keys, "length", "noise", "rho", "dilation", "lml"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for row in pdf.itertuples():
                 x, y, rel = _unpack(row.obs)
-                try:
-                    lml = fit(x, y, row.noise * rel, lambda a, b, r=row: changepoint_kernel(a, b, r.length, r.rho, r.dilation))[2]
-                except np.linalg.LinAlgError:
-                    continue
-                out.append((*(getattr(row, c) for c in columns), lml))
-            yield pd.DataFrame(out, columns=[*columns, "lml"])
+                noises = defaultdict(list)
+                for c in row.cells:
+                    noises[c["rho"], c["dilation"]].append(c["noise"])
+                for (rho, dilation), some in noises.items():
+                    k = KERNELS[kernel](x, x, row.length, rho, dilation)
+                    for noise, lml in zip(some, log_likelihoods(y, [v * rel for v in some], k)):
+                        if lml is not None:
+                            out.append((*(getattr(row, c) for c in keys), row.length, noise, rho, dilation, lml))
+            yield pd.DataFrame(out, columns=columns)
+
+    kinds = dict(packed.dtypes)
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in keys), "length double, noise double, rho double, dilation double, lml double"])
+    work = grid.groupBy(*keys, "length").agg(F.collect_list(F.struct("noise", "rho", "dilation")).alias("cells"))  # as many as the grid has
+    return _spread(work.join(packed, list(keys)), *keys, "length").mapInPandas(run, schema)
 
-    kinds = dict(observations.dtypes)
-    schema = ", ".join([*(f"{c} {kinds[c]}" for c in series), "length double, noise double, rho double, dilation double, lml double"])
-    return _cells(observations, grid, series).mapInPandas(run, schema)
+
+def grid_likelihoods(observations: DataFrame, grid: DataFrame, series: Sequence[str]) -> DataFrame:
+    """Log marginal likelihood of each grid row: (series, length, noise, rho, dilation, lml); cells that can't be factored are left out.
+
+    observations: (series, bin_day, regime, campaign, y, v); grid: (series, length, noise, rho, dilation).
+    """
+    return _likelihoods(_packed(observations, series), grid, series, "changepoint")
+
+
+def _search(packed: DataFrame, keys: Sequence[str], lengths: Sequence[float], noises: Sequence[float], rhos: Sequence[float], dilations: Sequence[float], kernel: str = "changepoint") -> DataFrame:
+    values = lambda xs: F.explode(F.array(*[F.lit(float(x)) for x in xs]))
+    stationary = packed.select(*keys).withColumn("length", values(lengths)).withColumn("noise", values(noises)).withColumn("rho", F.lit(1.0)).withColumn("dilation", F.lit(1.0))
+    first = _likelihoods(packed, stationary, keys, kernel).groupBy(*keys, "noise").agg(F.max("lml").alias("lml"))
+    kept = first.withColumn("top", F.max("lml").over(Window.partitionBy(*keys))).where(F.col("lml") >= F.col("top") - KEEP_NATS).select(*keys, "noise")
+    joint = kept.withColumn("length", values(lengths)).withColumn("rho", values(rhos)).withColumn("dilation", values(dilations))
+    return _likelihoods(packed, joint, keys, kernel)
 
 
 def two_stage_grid(
@@ -128,13 +175,7 @@ def two_stage_grid(
     rhos: Sequence[float] = RHOS, dilations: Sequence[float] = DILATIONS,
 ) -> DataFrame:
     """Stationary grid first, then the joint one for the noise scales that stay near the best: likelihoods of the joint grid."""
-    values = lambda xs: F.explode(F.array(*[F.lit(float(x)) for x in xs]))
-    names = observations.select(*series).distinct()
-    stationary = names.withColumn("length", values(lengths)).withColumn("noise", values(noises)).withColumn("rho", F.lit(1.0)).withColumn("dilation", F.lit(1.0))
-    first = grid_likelihoods(observations, stationary, series).groupBy(*series, "noise").agg(F.max("lml").alias("lml"))
-    kept = first.withColumn("top", F.max("lml").over(Window.partitionBy(*series))).where(F.col("lml") >= F.col("top") - KEEP_NATS).select(*series, "noise")
-    joint = kept.withColumn("length", values(lengths)).withColumn("rho", values(rhos)).withColumn("dilation", values(dilations))
-    return grid_likelihoods(observations, joint, series)
+    return _search(_packed(observations, series), series, lengths, noises, rhos, dilations)
 
 
 def ensemble(likelihoods: DataFrame, series: Sequence[str], lml: Column | None = None) -> DataFrame:
@@ -196,10 +237,36 @@ def fold_tasks(observations: DataFrame, series: Sequence[str], folds: int = 5, s
     return cut.where("size(train) > 0 AND size(test) > 0")
 
 
-def held_out(tasks: DataFrame, series: Sequence[str], models: Sequence[tuple[str, float, float, float, float]]) -> DataFrame:
+def doubling(min_train: int = 8) -> Column:
+    """The last task of `sequential_tasks`, at or before each, whose training part is min_train doubled some times."""
+    refits = F.array(*[F.lit(min_train * 2**i) for i in range(24)])
+    return F.array_max(F.filter(refits, lambda r: r <= F.col("task")))
+
+
+def chosen(
+    tasks: DataFrame, series: Sequence[str], refit: Column | None = None, lengths: Sequence[float] = LENGTH_SCALES, noises: Sequence[float] = NOISE_SCALES,
+    rhos: Sequence[float] = RHOS, dilations: Sequence[float] = DILATIONS,
+) -> DataFrame:
+    """The likeliest cell of the two-stage grid for each split and kernel: (series, task, kernel, length, noise, rho, dilation).
+
+    Only training bins are seen. refit: the task whose training part decides for a task, itself if not given. Regimes play
+    no part in the random-walk kernel, which is searched at rho 1.
+    """
+    tasks = tasks.withColumn("refit", refit if refit is not None else F.col("task"))
+    packed = tasks.where(F.col("task") == F.col("refit")).select(*series, "refit", F.col("train").alias("obs"))
+    keys = [*series, "refit"]
+    best = None
+    for kernel in KERNELS:
+        lml = _search(packed, keys, lengths, noises, [1.0] if kernel == "wiener" else rhos, dilations, kernel)
+        one = lml.groupBy(*keys).agg(F.max(F.struct("lml", "length", "noise", "rho", "dilation")).alias("b")).withColumn("kernel", F.lit(kernel))
+        best = one if best is None else best.unionByName(one)
+    return tasks.select(*series, "task", "refit").join(best, keys).select(*series, "task", "kernel", "b.length", "b.noise", "b.rho", "b.dilation")
+
+
+def held_out(tasks: DataFrame, series: Sequence[str], models: Sequence[tuple[str, float, float, float, float]] | DataFrame) -> DataFrame:
     """Predictions of the held-out bins: (series, kernel, task, bin_day, y, mean, sd), the sd with observation noise.
 
-    tasks: as from `sequential_tasks` or `fold_tasks`; models: (kernel, length, noise, rho, dilation), one per kernel.
+    tasks: as from `sequential_tasks` or `fold_tasks`; models: (kernel, length, noise, rho, dilation), one per kernel, or per split as from `chosen`.
     Splits that can't be factored are left out. Each (split, model) is one row of work.
     """
 
@@ -224,9 +291,12 @@ def held_out(tasks: DataFrame, series: Sequence[str], models: Sequence[tuple[str
     kinds = dict(tasks.dtypes)
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in series), "kernel string, task int, bin_day int, y double, mean double, sd double"])
     names = ["kernel", "length", "noise", "rho", "dilation"]
-    model = F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, m)]) for m in models]))
-    work = tasks.withColumn("_model", model).select(*tasks.columns, "_model.*")
-    return work.repartition(*[F.col(c) for c in (*series, "kernel", "task")]).mapInPandas(run, schema)
+    if isinstance(models, DataFrame):
+        work = tasks.join(models, [*series, "task"])
+    else:
+        model = F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, m)]) for m in models]))
+        work = tasks.withColumn("_model", model).select(*tasks.columns, "_model.*")
+    return _spread(work, *series, "kernel", "task").mapInPandas(run, schema)
 
 
 def scores(predictions: DataFrame, keys: Sequence[str]) -> DataFrame:

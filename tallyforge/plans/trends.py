@@ -16,8 +16,7 @@ CATALOGUE = Catalogue()
 query = CATALOGUE.query
 
 SERIES = ["region_code", "coord"]
-#: Bins of four weeks; a thinner grid than the full one of the operator, for the queries.
-BIN_DAYS, LENGTHS, NOISES, RHOS, DILATIONS = 28, [50, 160, 470, 1500], [0.05, 0.5, 2], [0.4, 1.0], [1, 4]
+BIN_DAYS = 7
 
 
 def _with_axis(df: DataFrame) -> DataFrame:
@@ -36,34 +35,32 @@ def _observations(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def gp_grid(spark: SparkSession, folder: str) -> DataFrame:
-    lml = gp.two_stage_grid(_observations(spark, folder), SERIES, LENGTHS, NOISES, RHOS, DILATIONS)
+    lml = gp.two_stage_grid(_observations(spark, folder), SERIES)
     return gp.ensemble(lml, SERIES).withColumns({"lml": F.round("lml", 4), "weight": F.round("weight", 6)})
 
 
 @query()
 def gp_trend(spark: SparkSession, folder: str) -> DataFrame:
     obs = _observations(spark, folder)
-    members = gp.ensemble(gp.two_stage_grid(obs, SERIES, LENGTHS, NOISES, RHOS, DILATIONS), SERIES)
+    members = gp.ensemble(gp.two_stage_grid(obs, SERIES), SERIES)
     targets = _with_axis(obs.select("bin_day").distinct())
     return gp.trend(obs, members, targets, SERIES).withColumns({"mean": F.round("mean", 6), "sd": F.round("sd", 6)})
 
 
-#: The models compared on held-out bins, all on the same scales.
-MODELS = [("changepoint", 470.0, 0.5, 0.4, 4.0), ("two_scale", 470.0, 0.5, 0.4, 4.0), ("wiener", 470.0, 0.5, 1.0, 4.0)]
-
-
-def _scored(tasks: DataFrame) -> DataFrame:
-    table = gp.scores(gp.held_out(tasks, SERIES, MODELS), [*SERIES, "kernel"])
+def _scored(tasks: DataFrame, models: DataFrame) -> DataFrame:
+    table = gp.scores(gp.held_out(tasks, SERIES, models), [*SERIES, "kernel"])
     return table.withColumns({c: F.round(c, 6) for c in ("mae", "lpd", "coverage90", "crps")})
 
 
 @query()
 def gp_sequential(spark: SparkSession, folder: str) -> DataFrame:
-    """Each bin foretold from the past alone, under three kernels."""
-    return _scored(gp.sequential_tasks(_observations(spark, folder), SERIES))
+    """Each bin foretold from the past alone, under three kernels whose cells are searched anew whenever the past has doubled."""
+    tasks = gp.sequential_tasks(_observations(spark, folder), SERIES)
+    return _scored(tasks, gp.chosen(tasks, SERIES, gp.doubling()))
 
 
 @query()
 def gp_folds(spark: SparkSession, folder: str) -> DataFrame:
-    """Bins foretold from the other folds, under three kernels."""
-    return _scored(gp.fold_tasks(_observations(spark, folder), SERIES))
+    """Bins foretold from the other folds, under three kernels whose cells are searched on those."""
+    tasks = gp.fold_tasks(_observations(spark, folder), SERIES)
+    return _scored(tasks, gp.chosen(tasks, SERIES))
