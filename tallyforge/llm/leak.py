@@ -29,8 +29,10 @@ MATCHED_WORDS = 12
 #: Alignment: what a matched word of the item gains (rare in the items, or stock), and a changed, added or missing word costs.
 RARE_GAIN, STOCK_GAIN, CHANGED, ADDED = 1.0, 0.4, 0.9, 0.3
 RARE_ITEMS, RARE_CHARS, MIN_SCORE = 3, 3, 5.0
-#: Rare words that a passage must have in common with the item: stock sentences alone leak nothing.
+#: Rare words that a looser or shorter passage must have in common with the item.
 MIN_RARE = 2
+#: So many words in common count whatever they are, if at most so many slips (a word mistyped, changed, missing or added) stand between them.
+STRETCH, SLIPS = 15, 1
 #: Items that are searched for at once; more take further passes over the corpus.
 ITEM_BLOCK = 5_000
 
@@ -191,6 +193,24 @@ class Items:
         self.gain = {i: [RARE_GAIN if seen[w] <= RARE_ITEMS and len(w) >= RARE_CHARS else STOCK_GAIN for w in words] for i, words in self.words.items()}
         self.search: Search | None = None
 
+    def stretch(self, item: int, text: list[str]) -> int:
+        """Most words in common, in the same order and together but for at most SLIPS slips, a mistyped word being one."""
+        words, best = self.words[item], 0
+        none = [[0] * (len(words) + 1) for _ in range(SLIPS + 1)]
+        last = none
+        for w in text:
+            now = [row.copy() for row in none]
+            for j in range(1, len(words) + 1):
+                for g in range(SLIPS + 1):
+                    if words[j - 1] == w:
+                        now[g][j] = last[g][j - 1] + 1 if last[g][j - 1] or g == 0 else 0
+                        best = max(best, now[g][j])
+                    elif g:
+                        changed, missing, added = last[g - 1][j - 1], now[g - 1][j - 1], last[g - 1][j]
+                        now[g][j] = max(changed, missing, added)
+            last = now
+        return best
+
     def aligned(self, item: int, text: list[str]) -> tuple[float, int, int]:
         """Best local alignment of document words with an item: its score, the words in common and the rare ones of them."""
         words, gain = self.words[item], self.gain[item]
@@ -219,8 +239,8 @@ class Items:
             score, matched = new, new_matched
         return best, best_matched % _RARE, best_matched // _RARE
 
-    def leaks(self, texts: list[str]) -> Iterator[tuple[int, int, float, int, int]]:
-        """(number of text, item, score, words in common, rare ones) of every candidate passage that was aligned."""
+    def leaks(self, texts: list[str], min_score: float = MIN_SCORE, min_words: int = MATCHED_WORDS) -> Iterator[tuple[int, int, float, int]]:
+        """(number of text, item, score, words in common) of every passage that counts: a likely one with rare words, or a long stretch of any."""
         if self.search is None:
             self.search = Search(self.strings)
         codes, owner = normalise(texts)
@@ -252,7 +272,10 @@ class Items:
                 if doc not in words:
                     a, b = first_word[doc], np.searchsorted(owner, doc, "right")
                     words[doc] = _ALPHABET[codes[a:b]].tobytes().decode().split()
-                yield doc, item, *self.aligned(item, words[doc][max(0, low - MARGIN) : high + PHRASE_WORDS + MARGIN])
+                passage = words[doc][max(0, low - MARGIN) : high + PHRASE_WORDS + MARGIN]
+                score, matched, rare = self.aligned(item, passage)
+                if score >= min_score and matched >= min_words and rare >= MIN_RARE or self.stretch(item, passage) >= STRETCH:
+                    yield doc, item, score, matched
 
 
 def leaks(docs: DataFrame, items: DataFrame, min_score: float = MIN_SCORE, min_words: int = MATCHED_WORDS) -> DataFrame:
@@ -278,9 +301,8 @@ def leaks(docs: DataFrame, items: DataFrame, min_score: float = MIN_SCORE, min_w
                     some = pdf.iloc[start : start + 2000]
                     ids = some.doc_id.tolist()
                     best: dict[tuple[int, int], tuple[float, int]] = {}
-                    for doc, item, score, matched, rare in block.leaks(some.text.tolist()):
-                        if score >= min_score and matched >= min_words and rare >= MIN_RARE:
-                            best[ids[doc], item] = max(best.get((ids[doc], item), (0.0, 0)), (score, matched))
+                    for doc, item, score, matched in block.leaks(some.text.tolist(), min_score, min_words):
+                        best[ids[doc], item] = max(best.get((ids[doc], item), (0.0, 0)), (score, matched))
                     yield pd.DataFrame([(*k, *v) for k, v in best.items()], columns=["doc_id", "item_id", "score", "n_words"])
 
         found.append(docs.select("doc_id", "text").mapInPandas(run, "doc_id long, item_id long, score double, n_words int"))
