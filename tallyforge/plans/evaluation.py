@@ -18,7 +18,7 @@ CATALOGUE = Catalogue()
 query = CATALOGUE.query
 
 # Election days with the map they were held on, the days a final poll may lie back, and the grid of shrinkage.
-ELECTIONS = [("2014-04-07", "2011"), ("2018-10-01", "2017")]
+ELECTIONS = [("2014-04-07", "2011"), ("2018-10-01", "2017"), ("2022-10-03", "2017")]
 FINAL_DAYS = 60
 LAMBDAS = [0.0, 0.25, 0.5, 0.75, 1.0]
 REST_FLOOR = 0.002

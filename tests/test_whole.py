@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.operators import gp
-from tallyforge.plans import elections, trends
+from tallyforge.plans import elections, evaluation, trends
 
 DATA = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
@@ -65,3 +65,9 @@ def test_long_passages_of_stock_words_are_leaks(spark):
     assert [search.stretch(0, t) for t in texts[:5]] == [16, 15, 16, 9, 7]
     docs = spark.createDataFrame([(i, "fin. " + " ".join(t) + " zut") for i, t in enumerate(texts)], "doc_id long, text string")
     assert {(r.doc_id, r.item_id) for r in leak.leaks(docs, table).collect()} == {(0, 0), (1, 0), (2, 0)}
+
+
+@needs_tables
+def test_final_polls_of_every_election_are_scored(spark):
+    found = {r.election for r in evaluation.final_poll_errors(spark, DATA.replace("sf0.001", "sf0.1")).collect()}
+    assert found == {"2014-04-07", "2018-10-01", "2022-10-03"}
