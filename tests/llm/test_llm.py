@@ -87,6 +87,57 @@ def test_leaks_are_found_through_slips_and_other_texts_are_not(spark):
     assert leak.leaks(docs_of(spark, []), table).count() == 0
 
 
+def found_pairs(spark, texts, table, **kw):
+    return {(r.doc_id, r.item_id) for r in leak.leaks(docs_of(spark, texts), table, **kw).collect()}
+
+
+@pytest.mark.parametrize("hollow", ["", "   ", "...", "<p></p>", "\u0301", "\x1e"])
+def test_texts_without_words_leak_nothing_wherever_they_stand(hollow):
+    passage = "the clerk counted forty sheets before opening the blue envelope and then the mayor read every second one aloud"
+    block = leak.Items([(7, leak.words_of(passage))])
+    for texts in ([passage, hollow], [hollow, passage], [hollow, passage, hollow], [hollow], [passage, *[hollow] * 2001]):
+        assert set(block.leaks(texts)) == {(i, 7) for i, t in enumerate(texts) if t == passage}
+
+
+def test_blocks_copies_and_other_items_change_nothing(spark):
+    rng = random.Random(8)
+    items = [(i, item_text(rng)) for i in range(12)]
+    texts = [" ".join(mutated(t.split()[5:40], rng, 0.1)) for _, t in items] + [t for _, t in items]
+    schema = "item_id long, text string"
+    alone = found_pairs(spark, texts, spark.createDataFrame(items, schema))
+    assert {(12 + i, i) for i in range(12)} <= alone
+    copies = spark.createDataFrame([(i + 100 * c, t) for i, t in items for c in range(4)], schema)
+    expected = {(d, i + 100 * c) for d, i in alone for c in range(4)}
+    assert found_pairs(spark, texts, copies) == expected
+    assert found_pairs(spark, texts, copies, block_words=300) == expected
+    assert found_pairs(spark, texts, copies, block_words=100) == expected
+
+
+def test_stock_words_verbatim_and_through_long_markup_are_found(spark):
+    rng = random.Random(9)
+    vocabulary = [word(rng) for _ in range(24)]
+    items = [(i, " ".join(rng.sample(vocabulary, 20))) for i in range(6)]
+    words = items[0][1].split()
+    changed = [*words[:7], "autre", *words[8:16]]
+    markup = " ".join(words[:9]) + f'<a href="{"x" * 900}">' + " ".join(words[9:16]) + "</a>"
+    texts = [items[0][1], " ".join(words[3:18]), " ".join(changed), markup, " ".join(words[:9]), " ".join(sorted(words))]
+    assert found_pairs(spark, texts, spark.createDataFrame(items, "item_id long, text string")) == {(k, 0) for k in range(4)}
+
+
+def test_alignment_agrees_with_the_recurrence():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        item, text = rng.integers(0, 6, rng.integers(3, 30)), rng.integers(-1, 6, (rng.integers(3, 40), 2))
+        last, best = [0] * (len(item) + 1), 0
+        for a, b in text.tolist():
+            row = [0] * (len(item) + 1)
+            for j, w in enumerate(item.tolist(), 1):
+                row[j] = max(0, last[j - 1] + (leak.COMMON if w in (a, b) else -leak.CHANGED), last[j] - leak.ADDED, row[j - 1] - leak.CHANGED)
+            best, last = max(best, *row), row
+        pads = [np.full((5, 1), -1, np.int32), text.astype(np.int32)]
+        assert leak.align(pads, [np.arange(3, dtype=np.int32), item.astype(np.int32)])[0][1] == best
+
+
 def test_search_finds_what_brute_force_finds():
     rng = random.Random(6)
     strings = list({bytes([0, *(rng.randrange(1, 4) for _ in range(rng.randrange(8, 14))), 0]) for _ in range(40)})
