@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallyforge.session import checkpoint
+
 #: Lengths of the final contexts, in characters; the longest one seen often enough decides.
 ORDERS = (3, 5, 6, 7, 8, 10, 12, 15, 18, 22, 26, 32)
 MIN_SEEN = 4
-#: Bits of the filter that picks the positions worth counting: a fixed 2 MB whatever the corpus.
-FILTER_BITS = 1 << 24
-#: Log-odds of "goes on" against "ends" above which a text counts as cut, by column and language; None holds for all other languages.
-THRESHOLDS: dict[str, dict[str | None, float]] = {"text": {None: 2.2}}
+#: The filter that picks the places worth counting has so many bits for each context in question, within these bounds (at most 8 MB).
+FILTER_SHARE, FILTER_BITS = 16, (1 << 16, 1 << 26)
+#: Steps of the log-odds in which a language's threshold is sought, and how far from 0 a score may lie; scores beyond count as that far.
+STEP, REACH = 0.25, 8.0
+#: The scores of all texts count as so many of each language's own, and "goes on" must at least be as likely as "ends".
+PRIOR_TEXTS, LEAST_THRESHOLD = 100.0, 0.0
 #: A length is a field limit of its source if it is this much more frequent than the lengths below it, and seen so often.
 LIMIT_RATIO, LIMIT_COUNT, LIMIT_SPAN = 8.0, 8, 40
 #: What a mark of truncation adds to the log-odds: one that names it, or a mere ellipsis.
@@ -29,6 +34,8 @@ _MARKS = re.compile(
     r"|…|[\[(](?:\.\.\.|…)[\])])\s*\Z",
     re.IGNORECASE,
 )
+_MARK_CHARS = 48  # more than the longest mark, and every mark ends in one of the characters below
+_MARK_ENDS = (")", "]", "…")
 _STOPS = ".!?…"
 #: A text that ends in one of these, or in a symbol such as an emoji, is whole as it stands.
 _CLOSED = re.compile(r"(?:[.!?)\]>»”\"*_~^=:;)]|[^\w\s,\ufffd&<\[({#/@+%$€'’\\|–—-])\s*\Z")
@@ -43,19 +50,26 @@ _M = (1 << 64) - 1
 WHOLE, OPEN, BROKEN = 0, 1, 2
 
 
+def unmarked(text: str) -> tuple[str, str | None]:
+    """The text without final white space and a final mark of truncation, and that mark."""
+    bare = text.rstrip()
+    if bare.endswith(_MARK_ENDS) and (found := _MARKS.search(bare[-_MARK_CHARS:])):
+        return bare[: len(bare) - len(found.group())].rstrip(), found.group().strip()
+    return bare, None
+
+
 def ending(text: str, author: str | None) -> tuple[str, float, int]:
     """The text without a final mark and white space, the log-odds the mark is worth, and the kind of ending."""
-    found = _MARKS.search(text)
-    bare = (text[: found.start()] if found else text).rstrip()
+    bare, mark = unmarked(text)
     if not bare:
         return bare, 0.0, WHOLE
-    if found:
-        return bare, ELLIPSIS_ODDS if found.group().strip() == "…" else NAMED_MARK_ODDS, OPEN
+    if mark:
+        return bare, ELLIPSIS_ODDS if mark == "…" else NAMED_MARK_ODDS, OPEN
     if bare[-1] == "\ufffd":
         return bare.rstrip("\ufffd"), NAMED_MARK_ODDS, BROKEN
-    if _SMILEY.search(bare) or (_CLOSED.search(bare) and not _OPEN_TAIL.search(bare)):
+    if _SMILEY.search(bare[-8:]) or (_CLOSED.search(bare[-8:]) and not _OPEN_TAIL.search(bare[-8:])):
         return bare, 0.0, WHOLE
-    if sign := _SIGNATURE.search(bare):
+    if sign := _SIGNATURE.search(bare, max(0, bare.rfind("\n", 0, bare.rfind("\n")))) if "\n" in bare else None:
         name = sign["name"]
         if author and author != name and author.startswith(name):
             return bare, 0.0, BROKEN
@@ -66,80 +80,91 @@ def ending(text: str, author: str | None) -> tuple[str, float, int]:
 
 def simplify(text: str) -> str:
     """Lower case, digits as one 0, quote marks and line wraps as blanks; a blank line stays as a line break."""
-    text = re.sub(r"\n[ \t]*(?:>[ \t]?)*[ \t]*(?=\n)", "\n", text.lower().replace("\r", "").replace(" ", " ").replace("&nbsp;", " "))
+    text = re.sub(r"\n[ \t]*(?:>[ \t]?)*[ \t]*(?=\n)", "\n", text.lower().replace("\r", "").replace("\u00a0", " ").replace("&nbsp;", " "))
     text = re.sub(r"\n{2,}[>\s]*", "\u0003", text)
     text = re.sub(r"\n[> \t]*", "\u0004", text)
-    return re.sub(r"\d+", "0", re.sub(r"[ \t]+", " ", text))
+    return re.sub(r"\d+", "0", re.sub(r"[ \t]{2,}|\t", " ", text))
 
 
-def _powers(n: int, base: int) -> np.ndarray:
-    out = np.full(n + 1, base & _M, dtype=np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+@functools.lru_cache(2)
+def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the hash's base and of its inverse, up to 2^bits of them."""
+    with np.errstate(over="ignore"):
+        both = [np.full(1 << bits, base & _M, dtype=np.uint64) for base in (_B, pow(_B, -1, 1 << 64))]
+        for out in both:
+            out[0] = 1
+            np.multiply.accumulate(out, out=out)
+    return both[0], both[1]
 
 
-def windows(codes: np.ndarray, n: int, sums: np.ndarray, down: np.ndarray) -> np.ndarray:
-    """Hash of the n characters that end at each place."""
+def hashes(places: np.ndarray, n: int, sums: np.ndarray, down: np.ndarray) -> np.ndarray:
+    """Hash of the n characters that end at each of the places, none of which may lie before n - 1. The lowest bit is free."""
     with np.errstate(over="ignore"):
-        h = np.zeros(len(codes), np.uint64)
-        if len(codes) >= n:
-            h[n - 1 :] = (sums[n:] - sums[:-n]) * down[: len(codes) - n + 1]
+        first = places + 1 - n
+        h = (sums[places + 1] - sums[first]) * down[first]
         h = (h + np.uint64(n)) * np.uint64(0xBF58476D1CE4E5B9)
-        return h ^ (h >> np.uint64(29))
+        return (h ^ (h >> np.uint64(29))) & ~np.uint64(1)
 
 
 def lay_out(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Texts end to end: characters, what follows each (1 an end, -1 more text, 0 neither), place in its text, last places, and the sums and powers for hashes."""
-    parts = ["\u0002" + t for t in texts]
-    codes = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).copy()
-    lengths = np.array([len(p) for p in parts], dtype=np.int64)
-    ends = np.cumsum(lengths) - 1
+    """Texts, simplified and end to end: characters, what follows each (1 an end, -1 more text, 0 neither), place in its text, last places, and the sums and powers for hashes."""
+    joined = simplify("".join("\u0002" + t.replace("\u0002", " ") for t in texts))
+    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).copy()
+    starts = np.flatnonzero(codes == 2)
+    lengths = np.diff(np.append(starts, len(codes)))
+    ends = starts + lengths - 1
     following = np.zeros(len(codes), np.uint32)
     following[:-1] = codes[1:]
     stops = np.isin(following, np.array([ord(c) for c in _STOPS] + [3], np.uint32))
     unclear = np.isin(following, np.array([4, *map(ord, '<[")»')], np.uint32))
     what = np.where(stops, 1, np.where(unclear, 0, -1)).astype(np.int8)
     what[ends] = 1
-    place = np.arange(len(codes)) - np.repeat(ends - lengths + 1, lengths)
+    place = np.arange(len(codes), dtype=np.int32) - np.repeat(starts, lengths).astype(np.int32)
     codes[codes == 4] = 32
     with np.errstate(over="ignore"):
-        up, down = _powers(len(codes), _B), _powers(len(codes), pow(_B, -1, 1 << 64))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((codes.astype(np.uint64) + np.uint64(7)) * up[: len(codes)], dtype=np.uint64)])
+        up, down = _powers(max(1, len(codes).bit_length()))
+        sums = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum((codes.astype(np.uint64) + np.uint64(7)) * up[: len(codes)], dtype=np.uint64, out=sums[1:])
     return codes, what, place, ends, sums, down
 
 
-_FINAL = "doc_id long, odds double, kind int, own boolean, order int, ctx long"
+_FINAL = "doc_id long, source string, lang string, chars int, bytes int, odds double, kind int, own boolean, ctx array<long>"
 
 
 def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        rows = [(i, *ending(text, author), text.rstrip()) for i, author, text in zip(pdf.doc_id, pdf.author, pdf.text) if text]
-        rows = [r for r in rows if r[3] != WHOLE]
-        if not rows:
+        kept = [(i, e, text) for i, (author, text) in enumerate(zip(pdf.author, pdf.text)) if (e := ending(text, author))[2] != WHOLE]
+        if not kept:
             continue
-        codes, _, place, ends, sums, down = lay_out([simplify(r[1]) for r in rows])
-        base = pd.DataFrame({"doc_id": [r[0] for r in rows], "odds": [r[2] for r in rows], "kind": [r[3] for r in rows], "own": [r[1] == r[4] for r in rows]})
-        for n in ORDERS:
-            ok = (place[ends] >= n - 1) | (n == ORDERS[0])
-            yield base[ok].assign(order=n, ctx=windows(codes, n, sums, down)[ends][ok].view(np.int64))
+        _, _, place, ends, sums, down = lay_out([e[0] for _, e, _ in kept])
+        table = np.zeros((len(kept), len(ORDERS)), np.uint64)
+        for k, n in enumerate(ORDERS):
+            long = place[ends] >= n - 1
+            table[long, k] = hashes(ends[long], n, sums, down)
+        size = (place[ends][:, None] >= np.array(ORDERS) - 1).sum(axis=1)
+        base = pdf.iloc[[i for i, _, _ in kept]][["doc_id", "source", "lang", "chars", "bytes"]]
+        yield base.assign(odds=[e[1] for _, e, _ in kept], kind=[e[2] for _, e, _ in kept], own=[e[0] == t.rstrip() for _, e, t in kept], ctx=[row[:m] for row, m in zip(table.view(np.int64), size)])
 
 
 def final_contexts(docs: DataFrame) -> DataFrame:
-    """Contexts, in several lengths, of all texts whose end does not show by itself that it is one.
+    """Contexts, in several lengths, of all texts whose end does not show by itself that it is one: one row per such text.
 
     `own` says that the text's end itself was counted as an end when the corpus was.
     """
-    return docs.select("doc_id", "author", "text").mapInPandas(_contexts, _FINAL)
+    columns = docs.where(F.length("text") > 0).select("doc_id", "source", "lang", "author", "text", F.length("text").alias("chars"), F.octet_length("text").alias("bytes"))
+    return columns.mapInPandas(_contexts, _FINAL)
 
 
 def context_filter(contexts: DataFrame) -> np.ndarray:
-    """A bit per hash residue: which places of the corpus may matter. Fixed size, built by a distributed bitwise or."""
-    slot = F.pmod(F.col("ctx"), F.lit(FILTER_BITS))
+    """A bit per hash residue: which places of the corpus may matter. Sized by a count of the contexts within FILTER_BITS, built by a distributed bitwise or."""
+    n = contexts.agg(F.sum(F.size("ctx")).alias("n")).first().n or 0
+    size = min(FILTER_BITS[1], max(FILTER_BITS[0], 1 << (FILTER_SHARE * n).bit_length()))
+    slot = F.pmod(F.shiftrightunsigned("c", 1), F.lit(size))
     words = (
-        contexts.select(slot.alias("slot")).distinct()
+        contexts.select(F.explode("ctx").alias("c")).select(slot.alias("slot"))
         .groupBy(F.floor(F.col("slot") / 32).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(slot % 32 AS INT))")).alias("bits"))
     )
-    table = np.zeros(FILTER_BITS // 32, np.uint32)
+    table = np.zeros(size // 32, np.uint32)
     rows = words.toPandas()  # at most FILTER_BITS / 32 rows
     table[rows.w.to_numpy(dtype=np.int64)] = rows.bits.to_numpy(dtype=np.int64).astype(np.uint32)
     return table
@@ -148,32 +173,35 @@ def context_filter(contexts: DataFrame) -> np.ndarray:
 def count_contexts(docs: DataFrame, bits: np.ndarray) -> DataFrame:
     """How often each context is followed by an end and by more text, over all texts: (ctx, n_end, n_more).
 
-    Every place of every text is counted, combined per batch before the shuffle; the filter only drops
-    places whose context ends no text in question.
+    Every place of every text is looked at and combined per batch before the shuffle; the filter only drops
+    places whose context ends no text in question. A place that matters to no short context matters to no longer one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = shared.value
+        last = np.uint64(32 * len(table) - 1)
         for pdf in batches:
-            texts = [t for t in pdf.text if t]
-            if not texts:
-                continue
-            cleaned = [simplify(t[: m.start()] if (m := _MARKS.search(t)) else t.rstrip()) for t in texts]
-            codes, what, place, ends, sums, down = lay_out(cleaned)
-            what[ends[[bool(_MARKS.search(t)) for t in texts]]] = 0
-            clear = what != 0
+            cleaned = [unmarked(t) for t in pdf.text]
+            _, what, place, ends, sums, down = lay_out([t for t, _ in cleaned])
+            what[ends[[m is not None for _, m in cleaned]]] = 0
+            at = np.flatnonzero(what)
             for n in ORDERS:
-                h = windows(codes, n, sums, down)
-                slot = (h & np.uint64(FILTER_BITS - 1)).astype(np.int64)
-                hit = clear & (place >= n - 1) & (((table[slot >> 5] >> (slot & 31).astype(np.uint32)) & 1) == 1)
-                unique, inverse = np.unique(h[hit], return_inverse=True)
-                seen = what[hit]
-                yield pd.DataFrame({
-                    "ctx": unique.view(np.int64), "n_end": np.bincount(inverse[seen > 0], minlength=len(unique)), "n_more": np.bincount(inverse[seen < 0], minlength=len(unique)),
-                })
-
-    return docs.select("text").mapInPandas(count, "ctx long, n_end long, n_more long").groupBy("ctx").agg(F.sum("n_end").alias("n_end"), F.sum("n_more").alias("n_more"))
+                at = at[place[at] >= n - 1]
+                h = hashes(at, n, sums, down)
+                slot = ((h >> np.uint64(1)) & last).astype(np.int64)
+                hit = (table[slot >> 5] >> (slot & 31).astype(np.uint32)) & 1 == 1
+                at, h = at[hit], h[hit]
+                if not len(at):
+                    break
+                h |= (what[at] > 0).astype(np.uint64)
+                h.sort()
+                first = np.flatnonzero(np.concatenate([[True], h[1:] >> np.uint64(1) != h[:-1] >> np.uint64(1)]))
+                n_end = np.add.reduceat((h & np.uint64(1)).astype(np.int64), first)
+                yield pd.DataFrame({"ctx": (h[first] & ~np.uint64(1)).view(np.int64), "n_end": n_end, "n_more": np.diff(np.append(first, len(h))) - n_end})
+
+    counts = docs.where(F.length("text") > 0).select("text").mapInPandas(count, "ctx long, n_end long, n_more long")
+    return counts.groupBy("ctx").agg(F.sum("n_end").alias("n_end"), F.sum("n_more").alias("n_more"))
 
 
 def field_limits(docs: DataFrame) -> DataFrame:
@@ -199,18 +227,15 @@ def score(docs: DataFrame, column: str = "text") -> DataFrame:
     of its mark and of its length. Texts that are null, empty or blank, or end in a stop, a closing mark or a symbol, are whole and left out.
     """
     docs = docs.withColumn("text", F.col(column)) if column != "text" else docs
-    contexts = final_contexts(docs).persist()
-    counts = count_contexts(docs, context_filter(contexts))
+    texts = checkpoint(final_contexts(docs)).withColumn("row", F.monotonically_increasing_id())
+    counts = count_contexts(docs, context_filter(texts))
+    n_end = F.greatest(F.col("n_end") - F.col("own").cast("int"), F.lit(0))
     known = (
-        contexts.join(counts, "ctx", "left")
-        .select("doc_id", "odds", "kind", "order", (F.coalesce("n_end", F.lit(0)) - F.when(F.col("own"), 1).otherwise(0)).alias("n_end"), F.coalesce("n_more", F.lit(0)).alias("n_more"))
-        .withColumn("n_end", F.greatest("n_end", F.lit(0)))
-        .withColumn("told", F.when(F.col("n_end") + F.col("n_more") >= MIN_SEEN, F.struct("order", F.log((F.col("n_more") + 0.5) / (F.col("n_end") + 0.5)).alias("ctx_odds"))))
-        .groupBy("doc_id").agg(F.max("odds").alias("odds"), F.max("kind").alias("kind"), F.max("told").alias("told"))
+        texts.select("row", "own", F.posexplode("ctx").alias("order", "ctx")).join(counts, "ctx").where(n_end + F.col("n_more") >= MIN_SEEN)
+        .groupBy("row").agg(F.max(F.struct("order", F.log((F.col("n_more") + 0.5) / (n_end + 0.5)).alias("ctx_odds"))).alias("told"))
     )
-    own = docs.select("doc_id", "source", "lang", F.length("text").alias("chars"), F.octet_length("text").alias("bytes")).join(known, "doc_id")
     limits = field_limits(docs)
-    best = own
+    best = texts.join(known, "row", "left")
     for m, slack in (("chars", 0), ("bytes", 3)):  # a limit in bytes leaves up to 3 unused before a long character
         reach = F.explode(F.sequence(F.col("size") - slack, F.col("size"))).alias(m)
         best = best.join(limits.where(F.col("measure") == m).select("source", reach, "limit_odds").groupBy("source", m).agg(F.max("limit_odds").alias(f"{m}_odds")), ["source", m], "left")
@@ -218,17 +243,36 @@ def score(docs: DataFrame, column: str = "text") -> DataFrame:
     return best.select("doc_id", "source", "lang", total.alias("odds"), "kind")
 
 
-def threshold(column: str) -> Column:
-    """The threshold of a row's language."""
-    table = THRESHOLDS.get(column, THRESHOLDS["text"])
-    named = [x for lang, value in table.items() if lang is not None for x in (F.lit(lang), F.lit(value))]
-    default = F.lit(table[None])
-    return F.coalesce(F.create_map(*named)[F.col("lang")], default) if named else default
+def thresholds(scores: DataFrame, prior: float = PRIOR_TEXTS) -> DataFrame:
+    """The log-odds from which a text of each language counts as cut: (lang, threshold).
+
+    The step that parts a language's scores into two groups with the greatest variance between them, half-way up the empty
+    steps around it. Scores of all texts of the column take part; those of all languages together stand in where a language has few.
+    Works on a row per language and step. A null language is one of its own.
+    """
+    step = F.floor(F.greatest(F.lit(-REACH), F.least(F.lit(REACH), F.col("odds"))) / STEP).cast("int").alias("step")
+    own = scores.groupBy("lang", step).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    pooled = own.groupBy("step").agg(F.sum("n").alias("n")).withColumn("n", F.lit(prior) * F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))))  # a row per step
+    top = int(REACH / STEP)
+    grid = own.select("lang").distinct().select("lang", F.explode(F.sequence(F.lit(-top), F.lit(top))).alias("step"))
+    steps = own.unionByName(grid.join(pooled, "step").select("lang", "step", "n")).groupBy("lang", "step").agg(F.sum("n").alias("n"))
+    up = Window.partitionBy("lang").orderBy("step")
+    whole = Window.partitionBy("lang")
+    below, below_sum = F.sum("n").over(up), F.sum(F.col("n") * F.col("step")).over(up)
+    total, total_sum = F.sum("n").over(whole), F.sum(F.col("n") * F.col("step")).over(whole)
+    between = below * (total - below) * F.pow(below_sum / below - (total_sum - below_sum) / (total - below), 2)
+    cuts = steps.select("lang", F.col("step"), F.lead("step").over(up).alias("next"), F.when(below < total - 1e-9, between).alias("between"))
+    best = cuts.where("next IS NOT NULL").groupBy("lang").agg(F.max_by(F.struct("step", "next"), F.struct("between", -F.col("step"))).alias("b"))
+    middle = (F.col("b.step") + 1 + F.col("b.next")) / 2 * STEP
+    return best.select("lang", F.greatest(F.lit(LEAST_THRESHOLD), middle).alias("threshold"))
 
 
 def cut_texts(docs: DataFrame, column: str = "text") -> DataFrame:
-    """The cut documents: (doc_id, source). Needs doc_id, author, lang, source and the text column; any may be null but doc_id."""
-    return score(docs, column).where((F.col("odds") > threshold(column)) | (F.col("kind") == BROKEN)).select("doc_id", "source")
+    """The cut documents: (doc_id, source). Needs doc_id, author, lang, source and the text column; any may be null. A repeated row comes out as often as it is stored."""
+    scores = checkpoint(score(docs, column))
+    bar = thresholds(scores).withColumnRenamed("lang", "own_lang")
+    odds = scores.join(bar, F.col("lang").eqNullSafe(F.col("own_lang")), "left")
+    return odds.where((F.col("odds") > F.coalesce("threshold", F.lit(LEAST_THRESHOLD))) | (F.col("kind") == BROKEN)).select("doc_id", "source")
 
 
 def cut_rates(docs: DataFrame, column: str = "text") -> DataFrame:

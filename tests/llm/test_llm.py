@@ -200,10 +200,39 @@ def test_field_limits_stand_out(spark):
     assert ("s", "chars", 101) in found
 
 
+def test_counts_of_contexts_agree_with_brute_force(spark):
+    rng = random.Random(5)
+    texts = posts(rng, 60) + ["the web panel mir", None, "", "ab", "the rural sample hides the b", "le fil [lire la suite]"]
+    docs = docs_of(spark, texts)
+    contexts = cut.final_contexts(docs)
+    counts = {r.ctx: (r.n_end, r.n_more) for r in cut.count_contexts(docs, cut.context_filter(contexts)).collect()}
+    whole = [cut.simplify("\u0002" + t.split(" [")[0]) for t in texts if t]
+    for r in contexts.collect():
+        text = "\u0002" + cut.simplify(cut.unmarked(texts[r.doc_id])[0])
+        for n, ctx in zip(cut.ORDERS, r.ctx):
+            ends = [(w, m.end()) for w in whole for m in re.finditer("(?<=" + re.escape(text[-n:]) + ")", w) if m.end() > n - 1]
+            marked = text.endswith("le fil")
+            end = sum(k == len(w) and not (marked and w.endswith("le fil")) or k < len(w) and w[k] in ".!?…\u0003" for w, k in ends)
+            more = sum(k < len(w) and w[k] not in '.!?…\u0003\u0004<[(")»' for w, k in ends)
+            assert counts.get(ctx, (0, 0)) == (end, more)
+        assert len(r.ctx) == sum(len(text) >= n for n in cut.ORDERS)
+
+
+def test_thresholds_part_each_language(spark):
+    rng = random.Random(11)
+    rows = [("en", rng.gauss(-5, 1)) for _ in range(300)] + [("en", rng.gauss(7, 1)) for _ in range(60)] + [("fr", rng.gauss(-2, 0.5)) for _ in range(300)] + [("fr", rng.gauss(8, 0.5)) for _ in range(300)] + [(None, -4.0), ("es", -3.0)]
+    found = {r.lang: r.threshold for r in cut.thresholds(spark.createDataFrame(rows, "lang string, odds double")).collect()}
+    assert set(found) == {"en", "fr", "es", None} and 0 <= found["en"] <= 4 and 0 <= found["fr"] <= 6 and found["es"] <= 5
+    alone = cut.thresholds(spark.createDataFrame([("en", -4.0), ("en", -4.1), ("en", -6.0)], "lang string, odds double")).collect()
+    assert [r.threshold for r in alone] == [cut.LEAST_THRESHOLD]
+    assert cut.thresholds(spark.createDataFrame([], "lang string, odds double")).count() == 0
+
+
 def test_window_hashes_tell_contexts_apart():
     codes, what, place, ends, sums, down = cut.lay_out(["abcabc", "zabc."])
-    h = cut.windows(codes, 3, sums, down)
-    same = [i for i in range(len(codes)) if place[i] >= 3 and h[i] == h[3]]
+    at = np.flatnonzero(place >= 3)
+    h = dict(zip(at.tolist(), cut.hashes(at, 3, sums, down).tolist()))
+    same = [i for i in h if h[i] == h[3]]
     assert "".join(map(chr, codes[1:4])) == "abc" and same == [3, 6, 11]
     assert what[11] == 1 and what[3] == -1 and what[6] == 1
 
