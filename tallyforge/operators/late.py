@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -10,60 +10,108 @@ from pyspark.sql.window import Window
 LATE_DAYS = 14
 CUTOFF_DAYS = 49
 
+# A delivery as one number, so that the first and the last of many are found by a hash aggregate of fixed width: microseconds of
+# the arrival, day of the event, sample size (null below all others), each moved up to be above 0.
+_WIDE = "DECIMAL(38,0)"
+_MICROS, _DAYS, _SAMPLE = 10**17, 10**6, 2**31 + 1
+_TIME, _DAY = 10**18, 10**11
 
-def arrivals(polls: DataFrame) -> DataFrame:
-    """One row per poll_id at its earliest arrival: (poll_id, period_start, arrival_day, age_days, sample_size, outcome).
 
-    Later deliveries of a poll_id are repeats. Rows with a null poll_id, poll_date or scraped_at carry no
-    event and are left out; of deliveries at the same instant the earliest poll_date, then the smallest
-    sample, counts. outcome is `on_time`, `corrects` or `refused`.
-    """
-    first = (
-        polls.where("poll_id IS NOT NULL AND poll_date IS NOT NULL AND scraped_at IS NOT NULL")
-        .groupBy("poll_id").agg(F.min(F.struct("scraped_at", "poll_date", "sample_size")).alias("e"))
-    )
-    start = F.trunc("e.poll_date", "week")
-    age = F.datediff(F.to_date("e.scraped_at"), start)
-    return first.select(
-        "poll_id", start.alias("period_start"), F.to_date("e.scraped_at").alias("arrival_day"), age.alias("age_days"), F.col("e.sample_size").alias("sample_size"),
-        F.when(age >= CUTOFF_DAYS, "refused").when(age >= LATE_DAYS, "corrects").otherwise("on_time").alias("outcome"),
+def _packed() -> Column:
+    micros = "(datediff(to_date(scraped_at), DATE'1970-01-01') * 86400L + hour(scraped_at) * 3600 + minute(scraped_at) * 60) * 1000000L + CAST(extract(SECOND FROM scraped_at) * 1000000 AS BIGINT)"
+    return F.expr(
+        f"CAST({micros} + {_MICROS}L AS {_WIDE}) * {_TIME}BD + CAST((datediff(poll_date, DATE'1970-01-01') + {_DAYS}L) * {_DAY}L + coalesce(sample_size + {_SAMPLE}L, 0L) AS {_WIDE})"
     )
 
 
-def late_polls(polls: DataFrame) -> DataFrame:
-    """The late polls with their fate: (poll_id, period, outcome)."""
-    return arrivals(polls).where("outcome <> 'on_time'").select("poll_id", F.date_format("period_start", "yyyy-MM-dd").alias("period"), "outcome")
+def _unpacked(e: str) -> Column:
+    """(start of the period, age at arrival in days, sample size) of a packed delivery."""
+    arrived = F.expr(f"date_add(DATE'1970-01-01', CAST(floor(({e} div {_TIME}BD - {_MICROS}L) / 86400000000D) AS INT))")
+    happened = F.expr(f"date_add(DATE'1970-01-01', CAST((CAST({e} % {_TIME}BD AS BIGINT) div {_DAY}L) - {_DAYS}L AS INT))")
+    sample = F.expr(f"CAST(nullif(CAST({e} % {_DAY}BD AS BIGINT), 0L) - {_SAMPLE}L AS INT)")
+    start = F.trunc(happened, "week")
+    return F.when(F.col(e).isNotNull(), F.struct(start.alias("start"), F.datediff(arrived, start).alias("age"), sample.alias("sample")))
+
+
+def deliveries(polls: DataFrame, *keys: str) -> DataFrame:
+    """The first delivery and the last one before the cut-off, packed, of each group of rows: (keys, first, last)."""
+    events = polls.where("poll_id IS NOT NULL AND poll_date IS NOT NULL AND scraped_at IS NOT NULL").withColumn("e", _packed())
+    in_time = F.datediff(F.to_date("scraped_at"), F.trunc("poll_date", "week")) < CUTOFF_DAYS
+    return events.groupBy(*keys).agg(F.min("e").alias("first"), F.max(F.when(in_time, F.col("e"))).alias("last"))
+
+
+def signed_parts(states: DataFrame, *keys: str) -> DataFrame:
+    """From the state of polls before (old_first, old_last; null if there was none) and after (first, last) the signed changes of their parts."""
+    def state(first: str, last: str) -> Column:
+        f, of_last = _unpacked(first), _unpacked(last)
+        outcome = F.when(f["age"] >= CUTOFF_DAYS, "refused").when(f["age"] >= LATE_DAYS, "corrects").otherwise("on_time")
+        part = F.when(f["age"] < CUTOFF_DAYS, of_last)
+        whole = F.struct(
+            f["start"].alias("period"), outcome.alias("outcome"), F.coalesce(part["start"], f["start"]).alias("period_start"),
+            F.when(part.isNotNull(), 1).otherwise(0).alias("n_polls"), part["sample"].alias("sample_size"),
+        )
+        return F.when(F.col(first).isNotNull(), whole)
+
+    both = states.select(*keys, state("old_first", "old_last").alias("old"), state("first", "last").alias("new")).where(~F.col("new").eqNullSafe(F.col("old")))
+    signed = F.array(F.struct(F.lit(-1).alias("sign"), F.col("old").alias("s")), F.struct(F.lit(1).alias("sign"), F.col("new").alias("s")))
+    return both.select(*keys, F.explode(signed).alias("d")).where("d.s IS NOT NULL").select(*keys, "d.sign", "d.s.*")
+
 
+def poll_log(polls: DataFrame) -> DataFrame:
+    """Signed changes of each poll's part in the figures: (poll_id, load_id, sign, period, outcome, period_start, n_polls, sample_size).
 
-def versions(events: DataFrame) -> DataFrame:
-    """State of each period after each correction: (period_start, version, n_polls, sample_sum and both before it).
+    Loads are taken in the order of load_id; the state of a poll is its earliest arrival so far, which decides its
+    fate (`on_time`, `corrects` or `refused`) and period, and its last delivery so far that came before the cut-off, which gives its part. A load
+    that changes the state takes the old part back (sign -1) and adds the new one (sign 1). A refused poll's part is 0 polls.
+    Rows with a null poll_id, poll_date or scraped_at carry no event and are left out; those with a null load_id came before all
+    loads. Of deliveries at the same instant the earlier poll_date, then the smaller sample (null least), is the earlier one. Repeated rows change nothing.
 
-    Version 0 is what was there when the period closed (all that is on time); each later day with corrections
-    makes one more. Events are summed per period and day before they meet, so that a period holds at most
-    CUTOFF_DAYS - LATE_DAYS + 1 rows, however many events it has.
+    Deliveries are reduced per poll and load before they meet, so that a poll holds at most a row for each load, however often it is delivered.
     """
-    step = F.when(F.col("outcome") == "on_time", F.lit(LATE_DAYS - 1)).otherwise(F.col("age_days"))
-    daily = (
-        events.where("outcome <> 'refused'")
-        .groupBy("period_start", step.alias("step")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("sample_size").cast("long")), F.lit(0)).alias("s"))
+    loads = deliveries(polls.withColumn("load_id", F.coalesce("load_id", F.lit(-1))), "poll_id", "load_id")
+    order = Window.partitionBy("poll_id").orderBy("load_id")
+    now, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
+    steps = loads.select(
+        "poll_id", "load_id", F.min("first").over(before).alias("old_first"), F.max("last").over(before).alias("old_last"), F.min("first").over(now).alias("first"), F.max("last").over(now).alias("last")
     )
-    so_far = Window.partitionBy("period_start").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = Window.partitionBy("period_start").orderBy("step")
-    return daily.select(
-        "period_start", (F.row_number().over(ranked) - 1).alias("version"), F.sum("n").over(so_far).alias("n_polls"), F.sum("s").over(so_far).alias("sample_sum"),
+    return signed_parts(steps, "poll_id", "load_id")
+
+
+def late_polls(log: DataFrame) -> DataFrame:
+    """The late polls with their fate, (poll_id, period, outcome): what is left of the polls' signed changes when they are added up."""
+    left = log.groupBy("poll_id", "period", "outcome").agg(F.sum("sign").alias("n")).where("n > 0 AND outcome <> 'on_time'")
+    return left.select("poll_id", F.date_format("period", "yyyy-MM-dd").alias("period"), "outcome")
+
+
+def net_changes(log: DataFrame, *keys: str) -> DataFrame:
+    """What signed parts change in all, (keys, n, s), where they change anything."""
+    size = F.coalesce(F.sum(F.col("sign") * F.col("sample_size").cast("long")), F.lit(0))
+    return log.groupBy(*keys).agg(F.sum(F.col("sign") * F.col("n_polls")).alias("n"), size.alias("s")).where("n <> 0 OR s <> 0")
+
+
+def versions(log: DataFrame) -> DataFrame:
+    """State of each period after each load that changed it: (period_start, version, load_id, n_polls, sample_sum and both before it).
+
+    Changes are summed per period and load before they meet, so that a period holds at most a row for each load.
+    """
+    net = net_changes(log, "period_start", "load_id")
+    order = Window.partitionBy("period_start").orderBy("load_id")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    return net.select(
+        "period_start", (F.row_number().over(order) - 1).alias("version"), "load_id", F.sum("n").over(so_far).alias("n_polls"), F.sum("s").over(so_far).alias("sample_sum"),
         (F.sum("n").over(so_far) - F.col("n")).alias("old_n"), (F.sum("s").over(so_far) - F.col("s")).alias("old_s"),
     )
 
 
-def deltas(events: DataFrame) -> DataFrame:
-    """The change log: for each version its new aggregate (sign 1) and, but for the first, the old one taken back (sign -1)."""
+def deltas(log: DataFrame) -> DataFrame:
+    """The change log of the periods: for each version its new aggregate (sign 1) and, but for the first, the old one taken back (sign -1)."""
     both = F.array(
         F.struct(F.lit(-1).alias("sign"), F.col("old_n").alias("n_polls"), F.col("old_s").alias("sample_sum")),
         F.struct(F.lit(1).alias("sign"), F.col("n_polls"), F.col("sample_sum")),
     )
     return (
-        versions(events).select("period_start", "version", F.explode(both).alias("d"))
-        .select("period_start", "version", "d.sign", "d.n_polls", "d.sample_sum").where("sign = 1 OR version > 0")
+        versions(log).select("period_start", "version", "load_id", F.explode(both).alias("d"))
+        .select("period_start", "version", "load_id", "d.sign", "d.n_polls", "d.sample_sum").where("sign = 1 OR version > 0")
     )
 
 

@@ -35,8 +35,11 @@ def stream_watch(spark: SparkSession, folder: str) -> DataFrame:
     return watch.watch(_stream(spark, folder, "page_snapshots"), _folder(spark)).select("title", "revid")
 
 
-@query("""WITH e AS (SELECT poll_id, arg_min(poll_date, scraped_at) AS d, min(scraped_at) AS a, arg_min(sample_size, (scraped_at, coalesce(sample_size, -9999999))) AS s FROM polls WHERE poll_date IS NOT NULL AND scraped_at IS NOT NULL GROUP BY poll_id)
-  SELECT CAST(date_trunc('week', d) AS DATE) AS period_start, count(*) AS n_polls, CAST(coalesce(sum(s), 0) AS BIGINT) AS sample_sum FROM e WHERE CAST(a AS DATE) - CAST(date_trunc('week', d) AS DATE) < 49 GROUP BY 1""")
+@query("""WITH e AS (SELECT poll_id, scraped_at AS a, date_trunc('week', poll_date) AS m, sample_size AS s,
+      row_number() OVER (PARTITION BY poll_id ORDER BY scraped_at, poll_date, sample_size NULLS FIRST) AS k, CAST(scraped_at AS DATE) - CAST(date_trunc('week', poll_date) AS DATE) AS age, poll_date AS d
+    FROM polls WHERE poll_id IS NOT NULL AND poll_date IS NOT NULL AND scraped_at IS NOT NULL),
+  taken AS (SELECT m, s FROM e WHERE age < 49 AND poll_id IN (SELECT poll_id FROM e WHERE k = 1 AND age < 49) QUALIFY row_number() OVER (PARTITION BY poll_id ORDER BY k DESC) = 1)
+  SELECT CAST(m AS DATE) AS period_start, count(*) AS n_polls, CAST(coalesce(sum(s), 0) AS BIGINT) AS sample_sum FROM taken GROUP BY 1""")
 def stream_weekly(spark: SparkSession, folder: str) -> DataFrame:
     return late.weekly(_stream(spark, folder, "polls"), _folder(spark)).where("n_polls > 0").select("period_start", "n_polls", "sample_sum")
 

@@ -42,11 +42,11 @@ def p2_profile(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    return late.late_polls(read_table(spark, folder, "polls"))
+    return late.late_polls(late.poll_log(read_table(spark, folder, "polls")))
 
 
 def p3_deltas(spark: SparkSession, folder: str) -> DataFrame:
-    return late.deltas(late.arrivals(read_table(spark, folder, "polls")))
+    return late.deltas(late.poll_log(read_table(spark, folder, "polls")))
 
 
 def p3_weekly(spark: SparkSession, folder: str) -> DataFrame:
@@ -100,9 +100,16 @@ WITH e AS (
   FROM polls WHERE poll_date IS NOT NULL AND scraped_at IS NOT NULL GROUP BY poll_id),
 aged AS (SELECT poll_id, CAST(date_trunc('week', d) AS DATE) AS m, CAST(a AS DATE) - CAST(date_trunc('week', d) AS DATE) AS age, s FROM e)
 """
-_STEPS = _LATE + """, kept AS (SELECT m, greatest(age, 13) AS step, count(*) AS n, coalesce(sum(s), 0) AS s FROM aged WHERE age < 49 GROUP BY 1, 2),
-v AS (SELECT m, row_number() OVER (PARTITION BY m ORDER BY step) - 1 AS version, sum(n) OVER w AS n, sum(s) OVER w AS s, sum(n) OVER w - n AS n0, sum(s) OVER w - s AS s0
-      FROM kept WINDOW w AS (PARTITION BY m ORDER BY step))
+_STEPS = """
+WITH d AS (SELECT poll_id, coalesce(load_id, -1) AS load_id, date_trunc('week', poll_date) AS m, {'a': scraped_at, 'd': poll_date, 's': coalesce(sample_size, -9999999)} AS e
+           FROM polls WHERE poll_id IS NOT NULL AND poll_date IS NOT NULL AND scraped_at IS NOT NULL),
+st AS (SELECT DISTINCT poll_id, load_id, min(e) OVER w AS f, max(CASE WHEN CAST(e.a AS DATE) - CAST(m AS DATE) < 49 THEN e END) OVER w AS l FROM d WINDOW w AS (PARTITION BY poll_id ORDER BY load_id)),
+parts AS (SELECT poll_id, load_id, CASE WHEN CAST(f.a AS DATE) - CAST(date_trunc('week', f.d) AS DATE) < 49 THEN l END AS p FROM st),
+moves AS (SELECT load_id, p, lag(p) OVER (PARTITION BY poll_id ORDER BY load_id) AS q FROM parts),
+signed AS (SELECT load_id, p, 1 AS sign FROM moves WHERE p IS NOT NULL UNION ALL SELECT load_id, q, -1 FROM moves WHERE q IS NOT NULL),
+kept AS (SELECT CAST(date_trunc('week', p.d) AS DATE) AS m, load_id AS step, sum(sign) AS n, sum(sign * CASE WHEN p.s > -9999999 THEN p.s ELSE 0 END) AS s FROM signed GROUP BY 1, 2),
+v AS (SELECT m, step, row_number() OVER w - 1 AS version, sum(n) OVER w AS n, sum(s) OVER w AS s, sum(n) OVER w - n AS n0, sum(s) OVER w - s AS s0
+      FROM kept WHERE n <> 0 OR s <> 0 WINDOW w AS (PARTITION BY m ORDER BY step))
 """
 _CHANGES = """
 WITH rv AS (SELECT title, revid, lag(revid) OVER w AS prev, lead(revid) OVER w AS nxt FROM (SELECT DISTINCT title, revid FROM page_snapshots) WINDOW w AS (PARTITION BY title ORDER BY revid)),
@@ -127,8 +134,8 @@ ORACLE = {
     "p1_found": _ORPHANS + "SELECT table_name, period, row_id FROM orphan",
     "p1_counts": _ORPHANS + "SELECT table_name, period, count(*) AS n_rows, count(DISTINCT (scope, k)) AS n_keys FROM orphan GROUP BY 1, 2",
     "p3_found": _LATE + "SELECT poll_id, strftime(m, '%Y-%m-%d') AS period, CASE WHEN age >= 49 THEN 'refused' ELSE 'corrects' END AS outcome FROM aged WHERE age >= 14",
-    "p3_deltas": _STEPS + """SELECT m AS period_start, version, 1 AS sign, CAST(n AS BIGINT) AS n_polls, CAST(s AS BIGINT) AS sample_sum FROM v
-        UNION ALL SELECT m, version, -1, CAST(n0 AS BIGINT), CAST(s0 AS BIGINT) FROM v WHERE version > 0""",
+    "p3_deltas": _STEPS + """SELECT m AS period_start, version, step AS load_id, 1 AS sign, CAST(n AS BIGINT) AS n_polls, CAST(s AS BIGINT) AS sample_sum FROM v
+        UNION ALL SELECT m, version, step, -1, CAST(n0 AS BIGINT), CAST(s0 AS BIGINT) FROM v WHERE version > 0""",
     "p3_weekly": _STEPS + "SELECT m AS period_start, CAST(arg_max(n, version) AS BIGINT) AS n_polls, CAST(arg_max(s, version) AS BIGINT) AS sample_sum, max(version) AS version FROM v GROUP BY m",
     "p3_monthly": _STEPS + """SELECT CAST(date_trunc('month', m) AS DATE) AS month_start, CAST(sum(n) AS BIGINT) AS n_polls, CAST(sum(s) AS BIGINT) AS sample_sum FROM kept GROUP BY 1""",
     "p5_found": _CHANGES + f"""SELECT a.title, a.revid, a.poll_id, a.party_code, CASE WHEN b.title IS NULL THEN 'added' ELSE 'changed' END AS change_kind

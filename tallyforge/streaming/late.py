@@ -5,57 +5,55 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.operators.late import CUTOFF_DAYS
-from tallyforge.streaming.state import latest_version, path_of, read_version, write_version
+from tallyforge.operators.late import deliveries, net_changes, signed_parts
+from tallyforge.streaming.state import latest_version, path_of, read_versions, write_version
 
-_POLLS = "poll_id string, scraped_at timestamp_ntz, poll_date date, sample_size int"
+_POLLS = "poll_id string, first decimal(38,0), last decimal(38,0)"
 _WEEKS = "period_start date, n_polls long, sample_sum long, version long"
 _DELTAS = "period_start date, version long, sign int, n_polls long, sample_sum long"
 
 
-def _weekly(polls: DataFrame, sign: int) -> DataFrame:
-    """Signed weekly sums of accepted polls; those that arrive at or after the cut-off count nowhere."""
-    start = F.trunc("poll_date", "week")
-    return (
-        polls.where(F.datediff(F.to_date("scraped_at"), start) < CUTOFF_DAYS)
-        .groupBy(start.alias("period_start")).agg((F.count(F.lit(1)) * sign).alias("n"), (F.coalesce(F.sum(F.col("sample_size").cast("long")), F.lit(0)) * sign).alias("s"))
-    )
-
-
 def process(folder: str):
-    """The foreachBatch function: merges a batch into the state under `folder` and writes the batch's change log.
+    """The foreachBatch function: adds a batch to the state under `folder` and writes the batch's change log.
 
-    A poll that turns out to have arrived earlier than known takes its old contribution back and adds the new
-    one; each week that changes emits its old figures with sign -1 and its new ones with sign 1.
+    State is a log of versions: a batch writes the polls and weeks that it changes, and nothing else. A poll's state is the least
+    `first` and the greatest `last` of its versions, a week's the one of its highest version, so that no version is ever rewritten.
+    A batch reads the earlier versions of its own polls only. A poll whose state changes takes its old part back and adds
+    the new one; each week that changes emits its old figures with sign -1 and its new ones with sign 1.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        known = read_version(spark, f"{folder}/polls", batch_id, _POLLS)
-        fields = F.struct("scraped_at", "poll_date", "sample_size")
-        fresh = batch.where("poll_id IS NOT NULL AND poll_date IS NOT NULL AND scraped_at IS NOT NULL").groupBy("poll_id").agg(F.min(fields).alias("new"))
-        old = known.select("poll_id", fields.alias("old"))
-        merged = old.join(fresh, "poll_id", "full_outer").withColumn("now", F.least("old", "new"))
-        write_version(merged.select("poll_id", "now.scraped_at", "now.poll_date", "now.sample_size"), f"{folder}/polls", batch_id + 1)
-        moved = merged.where(F.col("new").isNotNull() & (F.col("old").isNull() | (F.col("new") < F.col("old"))))
-        gone, come = moved.where(F.col("old").isNotNull()).select("old.*"), moved.select("new.*")
-        change = _weekly(gone, -1).unionByName(_weekly(come, 1)).groupBy("period_start").agg(F.sum("n").alias("dn"), F.sum("s").alias("ds")).where("dn <> 0 OR ds <> 0")
-        weeks = read_version(spark, f"{folder}/weeks", batch_id, _WEEKS)
-        after = weeks.join(change, "period_start", "full_outer").select(
-            "period_start", F.coalesce("n_polls", F.lit(0)).alias("old_n"), F.coalesce("sample_sum", F.lit(0)).alias("old_s"), F.coalesce("version", F.lit(0)).alias("old_version"),
-            F.coalesce("dn", F.lit(0)).alias("dn"), F.coalesce("ds", F.lit(0)).alias("ds"), F.col("dn").isNotNull().alias("changed"),
-        ).withColumn("version", F.col("old_version") + F.col("changed").cast("long"))
+        fresh = deliveries(batch, "poll_id")
+        known = read_versions(spark, f"{folder}/polls", batch_id, _POLLS).join(fresh.select("poll_id"), "poll_id", "left_semi")
+        old = known.groupBy("poll_id").agg(F.min("first").alias("old_first"), F.max("last").alias("old_last"))
+        both = fresh.join(old, "poll_id", "left")
+        now = both.withColumns({"first": F.least("first", "old_first"), "last": F.greatest("last", "old_last")})
+        moved = now.where(~(F.col("first").eqNullSafe(F.col("old_first")) & F.col("last").eqNullSafe(F.col("old_last"))))
+        write_version(moved.select("poll_id", "first", "last"), f"{folder}/polls", batch_id + 1)
+        change = net_changes(signed_parts(now, "poll_id"), "period_start")
+        weeks = weekly_state(read_versions(spark, f"{folder}/weeks", batch_id, _WEEKS))
+        after = change.join(weeks, "period_start", "left").select(
+            "period_start", F.coalesce("n_polls", F.lit(0)).alias("old_n"), F.coalesce("sample_sum", F.lit(0)).alias("old_s"), (F.coalesce("version", F.lit(0)) + 1).alias("version"), "n", "s"
+        )
         signed = F.array(
             F.struct(F.lit(-1).alias("sign"), F.col("old_n").alias("n_polls"), F.col("old_s").alias("sample_sum")),
-            F.struct(F.lit(1).alias("sign"), (F.col("old_n") + F.col("dn")).alias("n_polls"), (F.col("old_s") + F.col("ds")).alias("sample_sum")),
+            F.struct(F.lit(1).alias("sign"), (F.col("old_n") + F.col("n")).alias("n_polls"), (F.col("old_s") + F.col("s")).alias("sample_sum")),
         )
-        log = after.where("changed").select("period_start", "version", F.explode(signed).alias("d")).select("period_start", "version", "d.*").where("sign = 1 OR version > 1")
+        log = after.select("period_start", "version", F.explode(signed).alias("d")).select("period_start", "version", "d.*").where("sign = 1 OR version > 1")
         write_version(log, f"{folder}/deltas", batch_id + 1)
-        write_version(after.select("period_start", (F.col("old_n") + F.col("dn")).alias("n_polls"), (F.col("old_s") + F.col("ds")).alias("sample_sum"), "version"), f"{folder}/weeks", batch_id + 1)
+        changed = spark.read.schema(_DELTAS).parquet(path_of(f"{folder}/deltas", batch_id + 1)).where("sign = 1")
+        write_version(changed.select("period_start", "n_polls", "sample_sum", "version"), f"{folder}/weeks", batch_id + 1)
 
     return run
 
 
+def weekly_state(weeks: DataFrame) -> DataFrame:
+    """The latest version of each week: (period_start, n_polls, sample_sum, version)."""
+    latest = weeks.groupBy("period_start").agg(*[F.max_by(c, "version").alias(c) for c in ("n_polls", "sample_sum")], F.max("version").alias("last_version"))
+    return latest.withColumnRenamed("last_version", "version")
+
+
 def run_available(stream: DataFrame, folder: str) -> int:
     """Process all that is there and return how many batches the state has seen."""
     query = stream.writeStream.foreachBatch(process(folder)).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
@@ -67,13 +65,11 @@ def weekly(stream: DataFrame, folder: str) -> DataFrame:
     """Weekly figures after all available batches."""
     spark = stream.sparkSession
     n = run_available(stream, folder)
-    return read_version(spark, f"{folder}/weeks", n, _WEEKS)
+    return weekly_state(read_versions(spark, f"{folder}/weeks", n, _WEEKS))
 
 
 def change_log(stream: DataFrame, folder: str) -> DataFrame:
     """The signed changes of all batches."""
     spark = stream.sparkSession
     n = run_available(stream, folder)
-    if n == 0:
-        return spark.createDataFrame([], _DELTAS)
-    return spark.read.schema(_DELTAS).parquet(*[path_of(f"{folder}/deltas", i) for i in range(1, n + 1)])
+    return read_versions(spark, f"{folder}/deltas", n, _DELTAS)

@@ -19,6 +19,13 @@ def read_version(spark: SparkSession, folder: str, version: int, schema: str) ->
     return spark.read.schema(schema).parquet(path_of(folder, version))
 
 
+def read_versions(spark: SparkSession, folder: str, versions: int, schema: str) -> DataFrame:
+    """All versions up to the given one together, for states that are a log of changes; empty for 0."""
+    if versions == 0:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*[path_of(folder, i) for i in range(1, versions + 1)])
+
+
 def latest_version(spark: SparkSession, folder: str) -> int:
     """The highest version written, 0 if there is none. A run without new data adds none, so progress reports can't tell."""
     try:

@@ -144,29 +144,40 @@ def late_rows():
 
 
 def late_expected():
-    first = {}
+    """The first delivery of each poll, and the last one less than 49 days after its week's Monday."""
+    first, last = {}, {}
     for p, day, at, size, *_ in late_rows():
         if p and day and at:
             key = (at, day, -1 if size is None else size)
             first[p] = min(first.get(p, key), key)
-    return first
+            if (at.date() - (day - dt.timedelta(day.weekday()))).days < 49:
+                last[p] = max(last.get(p, key), key)
+    return first, last
 
 
 def test_late_polls_and_their_deltas(spark):
     polls = spark.createDataFrame(late_rows(), LATE)
     expected, weekly = set(), defaultdict(lambda: [0, 0])
-    for p, (at, day, size) in late_expected().items():
+    first, last = late_expected()
+    for p, (at, day, _) in first.items():
         monday = day - dt.timedelta(day.weekday())
         age = (at.date() - monday).days
         if age >= 14:
             expected.add((p, str(monday), "refused" if age >= 49 else "corrects"))
         if age < 49:
-            weekly[monday][0] += 1
-            weekly[monday][1] += max(size, 0)
-    assert {tuple(r) for r in late.late_polls(polls).collect()} == expected
-    log = late.deltas(late.arrivals(polls))
+            day, size = last[p][1:]
+            weekly[day - dt.timedelta(day.weekday())][0] += 1
+            weekly[day - dt.timedelta(day.weekday())][1] += max(size, 0)
+    polled = late.poll_log(polls)
+    assert {tuple(r) for r in late.late_polls(polled).collect()} == expected
+    taken_back = polled.where("sign = -1")
+    assert taken_back.count() > 10 and taken_back.where("outcome = 'refused'").count() > 0
+    log = late.deltas(polled)
     figures = {r.period_start: [r.n_polls, r.sample_sum] for r in late.apply_deltas(log, "period_start").collect()}
     assert figures == dict(weekly)
+    assert late.poll_log(polls.union(polls)).exceptAll(polled).count() == 0 and late.poll_log(polls.limit(0)).count() == 0
+    early = spark.createDataFrame([("p", D(1900, 1, 1), T(1900, 1, 2, 3, 4, 5), None, None, 0), ("p", D(1900, 1, 1), T(1900, 1, 2, 3, 4, 5), -7, 3, 0)], LATE)
+    assert rows(late.poll_log(early).select("load_id", "sign", "period", "outcome", "n_polls", "sample_size")) == sorted([(-1, 1, D(1900, 1, 1), "on_time", 1, None), (3, -1, D(1900, 1, 1), "on_time", 1, None), (3, 1, D(1900, 1, 1), "on_time", 1, -7)], key=str)
     by_period = defaultdict(list)
     for r in sorted(log.collect(), key=lambda r: (r.period_start, r.version, r.sign)):
         by_period[r.period_start].append((r.version, r.sign, r.n_polls, r.sample_sum))
@@ -183,7 +194,7 @@ def test_late_stream_in_any_order_equals_batch(spark, tmp_path):
         spark.createDataFrame(data[i::4], LATE).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(LATE).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     weekly = late_stream.weekly(stream, str(tmp_path / "state")).where("n_polls > 0").select("period_start", "n_polls", "sample_sum")
-    batch = late.apply_deltas(late.deltas(late.arrivals(spark.createDataFrame(data, LATE))), "period_start").select("period_start", "n_polls", "sample_sum")
+    batch = late.apply_deltas(late.deltas(late.poll_log(spark.createDataFrame(data, LATE))), "period_start").select("period_start", "n_polls", "sample_sum")
     assert rows(weekly) == rows(batch)
     log = late_stream.change_log(stream, str(tmp_path / "state"))
     assert rows(late.apply_deltas(log, "period_start").where("n_polls > 0").select("period_start", "n_polls", "sample_sum")) == rows(batch)
