@@ -17,6 +17,8 @@ from tallyforge.session import checkpoint
 #: Lengths of the final contexts, in characters; the longest one seen often enough decides.
 ORDERS = (3, 5, 6, 7, 8, 10, 12, 15, 18, 22, 26, 32)
 MIN_SEEN = 4
+#: Texts that are worked on at once.
+BATCH = 500
 #: The filter that picks the places worth counting has so many bits for each context in question, within these bounds (at most 8 MB).
 FILTER_SHARE, FILTER_BITS = 16, (1 << 16, 1 << 26)
 #: Steps of the log-odds in which a language's threshold is sought, and how far from 0 a score may lie; scores beyond count as that far.
@@ -78,12 +80,41 @@ def ending(text: str, author: str | None) -> tuple[str, float, int]:
     return bare, 0.0, OPEN
 
 
-def simplify(text: str) -> str:
-    """Lower case, digits as one 0, quote marks and line wraps as blanks; a blank line stays as a line break."""
-    text = re.sub(r"\n[ \t]*(?:>[ \t]?)*[ \t]*(?=\n)", "\n", text.lower().replace("\r", "").replace("\u00a0", " ").replace("&nbsp;", " "))
-    text = re.sub(r"\n{2,}[>\s]*", "\u0003", text)
-    text = re.sub(r"\n[> \t]*", "\u0004", text)
-    return re.sub(r"\d+", "0", re.sub(r"[ \t]{2,}|\t", " ", text))
+def _lower_table() -> np.ndarray:
+    table = np.arange(1 << 16, dtype=np.uint32)
+    for c in range(1 << 16):
+        if len(low := chr(c).lower()) == 1:
+            table[c] = ord(low)
+    table[[9, 0xA0]] = 32
+    table[48:58] = 48
+    return table
+
+
+_LOWER = _lower_table()
+
+
+def simplify(text: str) -> np.ndarray:
+    """The characters of a text in lower case, digits as one 0 and blanks as one; a line break with what quotes it as code 4, with a blank line as 3."""
+    raw = np.frombuffer(text.replace("\r", "").replace("&nbsp;", " ").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    codes = np.where(raw < 1 << 16, _LOWER[np.minimum(raw, (1 << 16) - 1)], raw)
+    blank, line, zero = codes == 32, codes == 10, codes == 48
+    keep = np.ones(len(codes), bool)
+    keep[1:] = ~(blank[1:] & blank[:-1] | zero[1:] & zero[:-1])
+    loose = blank | line | (codes == 62)
+    first = np.flatnonzero(loose & ~np.concatenate([[False], loose[:-1]]))
+    if len(first):
+        run = np.cumsum(np.bincount(first, minlength=len(codes))) - 1  # of loose characters
+        lines = np.cumsum(line)
+        before = lines[first] - line[first]
+        n_lines = np.add.reduceat(line.astype(np.int32), first)
+        inside = loose & (run >= 0)
+        inside[inside] = lines[inside] > before[run[inside]]  # from the run's first line break on
+        opens = np.flatnonzero(line)
+        opens = opens[lines[opens] == before[run[opens]] + 1]
+        keep[inside] = False
+        keep[opens] = True
+        codes[opens] = np.where(n_lines[run[opens]] > 1, 3, 4)
+    return codes[keep]
 
 
 @functools.lru_cache(2)
@@ -108,8 +139,7 @@ def hashes(places: np.ndarray, n: int, sums: np.ndarray, down: np.ndarray) -> np
 
 def lay_out(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Texts, simplified and end to end: characters, what follows each (1 an end, -1 more text, 0 neither), place in its text, last places, and the sums and powers for hashes."""
-    joined = simplify("".join("\u0002" + t.replace("\u0002", " ") for t in texts))
-    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).copy()
+    codes = simplify("".join("\u0002" + t.replace("\u0002", " ") for t in texts))
     starts = np.flatnonzero(codes == 2)
     lengths = np.diff(np.append(starts, len(codes)))
     ends = starts + lengths - 1
@@ -132,7 +162,7 @@ _FINAL = "doc_id long, source string, lang string, chars int, bytes int, odds do
 
 
 def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
+    for pdf in (whole.iloc[k : k + 4 * BATCH] for whole in batches for k in range(0, len(whole), 4 * BATCH)):
         kept = [(i, e, text) for i, (author, text) in enumerate(zip(pdf.author, pdf.text)) if (e := ending(text, author))[2] != WHOLE]
         if not kept:
             continue
@@ -178,27 +208,33 @@ def count_contexts(docs: DataFrame, bits: np.ndarray) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
+    def matching(texts: pd.Series, table: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        cleaned = [unmarked(t) for t in texts]
+        _, what, place, ends, sums, down = lay_out([t for t, _ in cleaned])
+        what[ends[[m is not None for _, m in cleaned]]] = 0
+        at = np.flatnonzero(what)
+        for n in ORDERS:
+            at = at[place[at] >= n - 1]
+            h = hashes(at, n, sums, down)
+            slot = ((h >> np.uint64(1)) & np.uint64(32 * len(table) - 1)).astype(np.int64)
+            hit = (table[slot >> 5] >> (slot & 31).astype(np.uint32)) & 1 == 1
+            at, h = at[hit], h[hit]
+            if not len(at):
+                break
+            yield n, h | (what[at] > 0).astype(np.uint64)  # the free bit says that an end follows
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = shared.value
-        last = np.uint64(32 * len(table) - 1)
         for pdf in batches:
-            cleaned = [unmarked(t) for t in pdf.text]
-            _, what, place, ends, sums, down = lay_out([t for t, _ in cleaned])
-            what[ends[[m is not None for _, m in cleaned]]] = 0
-            at = np.flatnonzero(what)
-            for n in ORDERS:
-                at = at[place[at] >= n - 1]
-                h = hashes(at, n, sums, down)
-                slot = ((h >> np.uint64(1)) & last).astype(np.int64)
-                hit = (table[slot >> 5] >> (slot & 31).astype(np.uint32)) & 1 == 1
-                at, h = at[hit], h[hit]
-                if not len(at):
-                    break
-                h |= (what[at] > 0).astype(np.uint64)
-                h.sort()
-                first = np.flatnonzero(np.concatenate([[True], h[1:] >> np.uint64(1) != h[:-1] >> np.uint64(1)]))
-                n_end = np.add.reduceat((h & np.uint64(1)).astype(np.int64), first)
-                yield pd.DataFrame({"ctx": (h[first] & ~np.uint64(1)).view(np.int64), "n_end": n_end, "n_more": np.diff(np.append(first, len(h))) - n_end})
+            seen: dict[int, list[np.ndarray]] = {n: [] for n in ORDERS}
+            for k in range(0, len(pdf), BATCH):
+                for n, h in matching(pdf.text.iloc[k : k + BATCH], shared.value):
+                    seen[n].append(h)
+            for parts in seen.values():
+                if parts:
+                    h = np.sort(np.concatenate(parts))
+                    first = np.flatnonzero(np.concatenate([[True], h[1:] >> np.uint64(1) != h[:-1] >> np.uint64(1)]))
+                    n_end = np.add.reduceat((h & np.uint64(1)).astype(np.int64), first)
+                    yield pd.DataFrame({"ctx": (h[first] & ~np.uint64(1)).view(np.int64), "n_end": n_end, "n_more": np.diff(np.append(first, len(h))) - n_end})
 
     counts = docs.where(F.length("text") > 0).select("text").mapInPandas(count, "ctx long, n_end long, n_more long")
     return counts.groupBy("ctx").agg(F.sum("n_end").alias("n_end"), F.sum("n_more").alias("n_more"))

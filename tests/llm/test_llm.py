@@ -200,15 +200,23 @@ def test_field_limits_stand_out(spark):
     assert ("s", "chars", 101) in found
 
 
+def test_simplified_text_has_one_sign_for_each_gap():
+    plain = lambda t: "".join(map(chr, cut.simplify(t)))
+    assert plain("In 2024,  the\tÉTÉ\u00a0&nbsp;x") == "in 0, the été x"
+    assert plain("a\n> b\r\n\n> > c > d\n>\n e 5>6") == "a\u0004b\u0003c > d\u0003e 0>0"
+    assert plain("") == "" and plain("\n") == "\u0004" and plain(" \n\n") == " \u0003" and plain("😀 1\ud800") == "😀 0\ud800"
+
+
 def test_counts_of_contexts_agree_with_brute_force(spark):
     rng = random.Random(5)
     texts = posts(rng, 60) + ["the web panel mir", None, "", "ab", "the rural sample hides the b", "le fil [lire la suite]"]
     docs = docs_of(spark, texts)
     contexts = cut.final_contexts(docs)
     counts = {r.ctx: (r.n_end, r.n_more) for r in cut.count_contexts(docs, cut.context_filter(contexts)).collect()}
-    whole = [cut.simplify("\u0002" + t.split(" [")[0]) for t in texts if t]
+    plain = lambda t: "\u0002" + "".join(map(chr, cut.simplify(t)))
+    whole = [plain(t.split(" [")[0]) for t in texts if t]
     for r in contexts.collect():
-        text = "\u0002" + cut.simplify(cut.unmarked(texts[r.doc_id])[0])
+        text = plain(cut.unmarked(texts[r.doc_id])[0])
         for n, ctx in zip(cut.ORDERS, r.ctx):
             ends = [(w, m.end()) for w in whole for m in re.finditer("(?<=" + re.escape(text[-n:]) + ")", w) if m.end() > n - 1]
             marked = text.endswith("le fil")
