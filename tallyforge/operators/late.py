@@ -24,13 +24,12 @@ def _packed() -> Column:
     )
 
 
-def _unpacked(e: str) -> Column:
-    """(start of the period, age at arrival in days, sample size) of a packed delivery."""
-    arrived = F.expr(f"date_add(DATE'1970-01-01', CAST(floor(({e} div {_TIME}BD - {_MICROS}L) / 86400000000D) AS INT))")
-    happened = F.expr(f"date_add(DATE'1970-01-01', CAST((CAST({e} % {_TIME}BD AS BIGINT) div {_DAY}L) - {_DAYS}L AS INT))")
-    sample = F.expr(f"CAST(nullif(CAST({e} % {_DAY}BD AS BIGINT), 0L) - {_SAMPLE}L AS INT)")
-    start = F.trunc(happened, "week")
-    return F.when(F.col(e).isNotNull(), F.struct(start.alias("start"), F.datediff(arrived, start).alias("age"), sample.alias("sample")))
+def _unpacked(df: DataFrame, e: str) -> DataFrame:
+    """The packed delivery of a column as columns: e_start, the start of the period, e_age, days to the arrival, and e_sample. Null gives nulls."""
+    parts = df.withColumns({f"{e}_hi": F.expr(f"{e} div {_TIME}BD - {_MICROS}L"), f"{e}_lo": F.expr(f"CAST({e} % {_TIME}BD AS BIGINT)")})
+    start = F.trunc(F.expr(f"date_add(DATE'1970-01-01', CAST({e}_lo div {_DAY}L - {_DAYS}L AS INT))"), "week")
+    arrived = F.expr(f"date_add(DATE'1970-01-01', CAST(floor({e}_hi / 86400000000D) AS INT))")
+    return parts.withColumn(f"{e}_start", start).withColumns({f"{e}_age": F.datediff(arrived, F.col(f"{e}_start")), f"{e}_sample": F.expr(f"CAST(nullif({e}_lo % {_DAY}L, 0L) - {_SAMPLE}L AS INT)")})
 
 
 def deliveries(polls: DataFrame, *keys: str) -> DataFrame:
@@ -42,19 +41,16 @@ def deliveries(polls: DataFrame, *keys: str) -> DataFrame:
 
 def signed_parts(states: DataFrame, *keys: str) -> DataFrame:
     """From the state of polls before (old_first, old_last; null if there was none) and after (first, last) the signed changes of their parts."""
-    def state(first: str, last: str) -> Column:
-        f, of_last = _unpacked(first), _unpacked(last)
-        outcome = F.when(f["age"] >= CUTOFF_DAYS, "refused").when(f["age"] >= LATE_DAYS, "corrects").otherwise("on_time")
-        part = F.when(f["age"] < CUTOFF_DAYS, of_last)
-        whole = F.struct(
-            f["start"].alias("period"), outcome.alias("outcome"), F.coalesce(part["start"], f["start"]).alias("period_start"),
-            F.when(part.isNotNull(), 1).otherwise(0).alias("n_polls"), part["sample"].alias("sample_size"),
-        )
-        return F.when(F.col(first).isNotNull(), whole)
-
-    both = states.select(*keys, state("old_first", "old_last").alias("old"), state("first", "last").alias("new")).where(~F.col("new").eqNullSafe(F.col("old")))
-    signed = F.array(F.struct(F.lit(-1).alias("sign"), F.col("old").alias("s")), F.struct(F.lit(1).alias("sign"), F.col("new").alias("s")))
-    return both.select(*keys, F.explode(signed).alias("d")).where("d.s IS NOT NULL").select(*keys, "d.sign", "d.s.*")
+    moved = states.where(~(F.col("first").eqNullSafe(F.col("old_first")) & F.col("last").eqNullSafe(F.col("old_last"))))
+    both = F.array(F.struct(F.lit(-1).alias("sign"), F.col("old_first").alias("first"), F.col("old_last").alias("last")), F.struct(F.lit(1).alias("sign"), "first", "last"))
+    signed = moved.select(*keys, F.explode(both).alias("d")).select(*keys, "d.*").where("first IS NOT NULL")
+    told = _unpacked(_unpacked(signed, "first"), "last")
+    outcome = F.when(F.col("first_age") >= CUTOFF_DAYS, "refused").when(F.col("first_age") >= LATE_DAYS, "corrects").otherwise("on_time")
+    taken = F.col("first_age") < CUTOFF_DAYS
+    return told.select(
+        *keys, "sign", F.col("first_start").alias("period"), outcome.alias("outcome"), F.when(taken, F.col("last_start")).otherwise(F.col("first_start")).alias("period_start"),
+        F.when(taken, 1).otherwise(0).alias("n_polls"), F.when(taken, F.col("last_sample")).alias("sample_size"),
+    )
 
 
 def poll_log(polls: DataFrame) -> DataFrame:
