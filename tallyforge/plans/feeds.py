@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.plans.registry import Catalogue
-from tallyforge.session import ensure_checkpoint_dir, read_table
+from tallyforge.session import new_folder, read_table
 from tallyforge.sources import pages
 from tallyforge.streaming import late, watch
 
@@ -17,12 +16,6 @@ CATALOGUE = Catalogue()
 query = CATALOGUE.query
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder in the shared checkpoint directory."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
-
-
 def _stream(spark: SparkSession, folder: str, table: str) -> DataFrame:
     """A table as a stream of its files, one file per batch."""
     reader = spark.readStream.schema(read_table(spark, folder, table).schema).option("maxFilesPerTrigger", 1)
@@ -32,7 +25,7 @@ def _stream(spark: SparkSession, folder: str, table: str) -> DataFrame:
 
 @query("SELECT title, max(revid) AS revid FROM page_snapshots WHERE title IS NOT NULL GROUP BY title")
 def stream_watch(spark: SparkSession, folder: str) -> DataFrame:
-    return watch.watch(_stream(spark, folder, "page_snapshots"), _folder(spark)).select("title", "revid")
+    return watch.watch(_stream(spark, folder, "page_snapshots"), new_folder(spark)).select("title", "revid")
 
 
 @query("""WITH e AS (SELECT poll_id, scraped_at AS a, date_trunc('week', poll_date) AS m, sample_size AS s,
@@ -41,7 +34,7 @@ def stream_watch(spark: SparkSession, folder: str) -> DataFrame:
   taken AS (SELECT m, s FROM e WHERE age < 49 AND poll_id IN (SELECT poll_id FROM e WHERE k = 1 AND age < 49) QUALIFY row_number() OVER (PARTITION BY poll_id ORDER BY k DESC) = 1)
   SELECT CAST(m AS DATE) AS period_start, count(*) AS n_polls, CAST(coalesce(sum(s), 0) AS BIGINT) AS sample_sum FROM taken GROUP BY 1""")
 def stream_weekly(spark: SparkSession, folder: str) -> DataFrame:
-    return late.weekly(_stream(spark, folder, "polls"), _folder(spark)).where("n_polls > 0").select("period_start", "n_polls", "sample_sum")
+    return late.weekly(_stream(spark, folder, "polls"), new_folder(spark)).where("n_polls > 0").select("period_start", "n_polls", "sample_sum")
 
 
 @query("""SELECT title, revid, regexp_extract(html, '<h2>([^<]*)</h2>', 1) AS section, try_cast(regexp_extract(html, '([0-9]+) sondage', 1) AS BIGINT) AS n_stated, count(*) AS n_rows FROM page_snapshots WHERE html IS NOT NULL AND html LIKE '%sondage%</p>%' GROUP BY ALL""")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.operators import changes, late, orphans, parsing, profile
-from tallyforge.session import checkpoint, read_table
+from tallyforge.session import new_folder, read_table
 
 
 def _references(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -22,25 +22,38 @@ def p1_counts(spark: SparkSession, folder: str) -> DataFrame:
     return orphans.orphan_counts(*_references(spark, folder))
 
 
-def _profile(spark: SparkSession, folder: str) -> DataFrame:
-    states = profile.column_states(read_table(spark, folder, "polls"), profile.POLL_CHECKS).unionByName(
-        profile.column_states(read_table(spark, folder, "poll_shares"), profile.SHARE_CHECKS)
-    )
-    return profile.load_profile(checkpoint(states), profile.POLL_CHECKS + profile.SHARE_CHECKS)  # the states are what a later load merges into
+_DECLARED = {"polls": profile.POLL_CHECKS, "poll_shares": profile.SHARE_CHECKS}
+
+
+def _profile(spark: SparkSession, folder: str, every: bool) -> DataFrame:
+    """Profiles of the declared columns, or of every column, of both tables."""
+    found = []
+    for table, declared in _DECLARED.items():
+        df = read_table(spark, folder, table)
+        checks = profile.every_column(df, table, declared) if every else declared
+        states = profile.update_states(df, checks, f"{new_folder(spark)}/{table}")  # kept where a later run could add its loads
+        found.append(profile.load_profile(states, df, checks))
+    return found[0].unionByName(found[1])
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    return profile.findings(_profile(spark, folder))
+    return profile.findings(_profile(spark, folder, False))
 
 
 def p2_profile(spark: SparkSession, folder: str) -> DataFrame:
-    limits = profile.with_control_limits(_profile(spark, folder))
+    limits = profile.with_control_limits(_profile(spark, folder, True))
     return limits.select(
-        "table_name", "column_name", "feed", "load_id", "n_rows", "n_null", "n_distinct", "n_out_of_range", "n_malformed",
+        "table_name", "column_name", "feed", "load_id", "n_rows", "n_null", "n_out_of_range", "n_malformed",
         F.round("min_value", 6).alias("min_value"), F.round("max_value", 6).alias("max_value"), F.round("median", 6).alias("median"), F.round("distance", 6).alias("distance"), "null_rate_alarm", "median_alarm",
     )
 
 
+def p2_distinct(spark: SparkSession, folder: str) -> DataFrame:
+    tables = [(t, read_table(spark, folder, t)) for t in _DECLARED]
+    first, second = (profile.distinct_counts(df, profile.every_column(df, t)) for t, df in tables)
+    return first.unionByName(second)
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return late.late_polls(late.poll_log(read_table(spark, folder, "polls")))
 
@@ -75,7 +88,7 @@ def p6_loaded(spark: SparkSession, folder: str) -> DataFrame:
     return parsing.strict_load(read_table(spark, folder, "poll_rows_raw"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_profile, p3_found, p3_deltas, p3_weekly, p3_monthly, p5_found, p5_intervals, p6_found, p6_loaded)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_profile, p2_distinct, p3_found, p3_deltas, p3_weekly, p3_monthly, p5_found, p5_intervals, p6_found, p6_loaded)}
 
 _FOLD = "regexp_replace(strip_accents(lower({0})), '[^a-z0-9]', '', 'g')"
 _ORPHANS = f"""
@@ -167,3 +180,21 @@ ORACLE["p2_found"] = _STATES + """SELECT table_name, column_name, load_id, 'null
   UNION ALL SELECT table_name, column_name, load_id, 'pattern' FROM seq WHERE n_bad > 0
   UNION ALL SELECT table_name, column_name, load_id, 'shift' FROM seq WHERE abs(med - med0) > 0.4 * med0
   UNION ALL SELECT 'polls', 'firm_rating', load_id, 'shift' FROM dist WHERE tv > 0.5"""
+_PLAIN = {
+    "polls": ("poll_id", "jurisdiction_code", "region_code", "firm", "poll_date", "is_rolling", "general_election", "source_url", "scraped_at"),
+    "poll_shares": ("poll_id", "party_code"),
+}
+ORACLE["p2_profile"] = _STATES + ", plain AS (" + " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, '{c}' AS column_name, feed, load_id, count(*) AS n_rows, count(*) - count({c}) AS n_null FROM {t} WHERE feed IS NOT NULL AND load_id IS NOT NULL GROUP BY ALL"
+    for t, columns in _PLAIN.items() for c in columns
+) + """),
+ranges AS (SELECT table_name, column_name, feed, load_id, min(num) AS lo, max(num) AS hi FROM cells GROUP BY ALL),
+merged AS (
+  SELECT l.table_name, l.column_name, l.feed, l.load_id, l.n_rows, l.n_null, l.n_out, l.n_bad, r.lo, r.hi, l.med, d.tv
+  FROM loads l JOIN ranges r USING (table_name, column_name, feed, load_id) LEFT JOIN dist d ON l.column_name = 'firm_rating' AND d.feed = l.feed AND d.load_id = l.load_id
+  WHERE l.feed IS NOT NULL AND l.load_id IS NOT NULL
+  UNION ALL SELECT table_name, column_name, feed, load_id, n_rows, n_null, 0, 0, NULL, NULL, NULL, NULL FROM plain)
+SELECT table_name, column_name, feed, load_id, n_rows, n_null, n_out AS n_out_of_range, n_bad AS n_malformed, round(lo, 6) AS min_value, round(hi, 6) AS max_value, round(med, 6) AS median, round(tv, 6) AS distance,
+  coalesce(count(n_null) OVER w >= 8 AND abs(n_null / n_rows - avg(n_null / n_rows) OVER w) > 3 * stddev_samp(n_null / n_rows) OVER w + 1e-9, false) AS null_rate_alarm,
+  coalesce(count(med) OVER w >= 8 AND abs(med - avg(med) OVER w) > 3 * stddev_samp(med) OVER w + 1e-9, false) AS median_alarm
+FROM merged WINDOW w AS (PARTITION BY table_name, column_name, feed ORDER BY load_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""

@@ -96,8 +96,9 @@ def test_profile_findings_equal_brute_force(spark):
                 size = None if rng.random() < nulls else rng.choice([int(800 * shift * rng.uniform(0.8, 1.2)), 99, 100, 20000, 20001] if rng.random() < 0.1 else [int(800 * shift * rng.uniform(0.8, 1.2))])
                 data.append((feed, load * 10 + (feed == "g"), size, rng.choice([None, "A", "A", "B+", "NC"] if rng.random() < 0.98 else ["a+"]), 1.0, "x"))
     data += [(None, 5, 1, "A", 1.0, "x"), ("f", None, 1, "A", 1.0, "x")]
-    states = profile.column_states(spark.createDataFrame(data, POLLS), profile.POLL_CHECKS)
-    found = {tuple(r)[1:] for r in profile.findings(profile.load_profile(states, profile.POLL_CHECKS)).collect()}
+    df = spark.createDataFrame(data, POLLS)
+    states = profile.load_states(df, profile.POLL_CHECKS)
+    found = {tuple(r)[1:] for r in profile.findings(profile.load_profile(states, df, profile.POLL_CHECKS)).collect()}
     expected = set()
     for feed in ("f", "g"):
         loads = sorted({r[1] for r in data if r[0] == feed and r[1] is not None})
@@ -123,11 +124,35 @@ def test_profile_findings_equal_brute_force(spark):
 
 def test_states_merge_and_nan_is_out_of_range(spark):
     df = spark.createDataFrame([("f", 1, float("nan")), ("f", 1, 50.0), ("f", 1, None), ("f", 2, 100.0), ("f", 2, 0.0)], SHARES)
-    whole = profile.column_states(df, profile.SHARE_CHECKS)
-    parts = profile.merge_states(profile.column_states(df.where("load_id = 1"), profile.SHARE_CHECKS), profile.column_states(df.where("load_id = 2"), profile.SHARE_CHECKS))
-    assert str(rows(whole)) == str(rows(parts.select(*whole.columns)))  # as text, since NaN equals nothing
-    assert {tuple(r)[2:] for r in profile.findings(profile.load_profile(whole, profile.SHARE_CHECKS)).collect()} == {(1, "range"), (2, "null_rate")}
-    assert profile.load_profile(whole.limit(0), profile.SHARE_CHECKS).count() == 0
+    whole = profile.load_states(df, profile.SHARE_CHECKS)
+    pieces = [profile.load_states(df.where(x), profile.SHARE_CHECKS) for x in ("pct_reported = 50", "NOT pct_reported <=> 50")]  # of one load
+    parts = profile.merge_states(*pieces)
+    for a, b in ((whole.metrics, parts.metrics), (whole.parts, parts.parts)):
+        assert str(rows(a)) == str(rows(b.select(*a.columns)))  # as text, since NaN equals nothing
+    assert {tuple(r)[2:] for r in profile.findings(profile.load_profile(whole, df, profile.SHARE_CHECKS)).collect()} == {(1, "range"), (2, "null_rate")}
+    none = df.limit(0)
+    assert profile.load_profile(profile.load_states(none, profile.SHARE_CHECKS), none, profile.SHARE_CHECKS).count() == 0
+
+
+def test_only_new_loads_are_read(spark, tmp_path):
+    df = spark.createDataFrame([("f", i % 4, float(i), None if i % 3 else "A", 1.0, "x") for i in range(40)], "feed string, load_id long, sample_size double, firm_rating string, num double, c string")
+    first = profile.update_states(df.where("load_id < 2"), profile.POLL_CHECKS, str(tmp_path))
+    assert first.metrics.count() == 4
+    changed = df.withColumn("sample_size", F.when(F.col("load_id") < 2, -1.0).otherwise(F.col("sample_size")))  # known loads must not be read again
+    both, whole = profile.update_states(changed, profile.POLL_CHECKS, str(tmp_path)), profile.load_states(df, profile.POLL_CHECKS)
+    for _ in range(2):
+        for a, b in ((both.metrics, whole.metrics), (both.parts, whole.parts)):
+            assert rows(a.select(*b.columns)) == rows(b)
+        both = profile.update_states(df, profile.POLL_CHECKS, str(tmp_path))
+
+
+def test_every_column_is_profiled(spark):
+    df = spark.createDataFrame([("f", 1, i % 7 if i % 2 else None, None, float(i), str(i)) for i in range(500)], POLLS)
+    checks = profile.every_column(df, "polls", profile.POLL_CHECKS)
+    metrics = {r.column_name: r for r in profile.metric_states(df, checks).collect()}
+    assert set(metrics) == {"sample_size", "firm_rating", "num", "c"} and metrics["num"].max_value == 499 and metrics["sample_size"].n_null == 250 and metrics["firm_rating"].n_null == 500
+    n = {r.column_name: r.n_distinct for r in profile.distinct_counts(df, checks).collect()}
+    assert n["sample_size"] == 7 and n["firm_rating"] == 0 and abs(n["c"] - 500) < 25
 
 
 LATE = "poll_id string, poll_date date, scraped_at timestamp_ntz, sample_size int, load_id long, e int"
