@@ -25,6 +25,11 @@ def closure(parts: Parts) -> Parts:
     return [p / whole for p in parts]
 
 
+def closed_array(parts: Parts) -> Column:
+    """The closed parts as an array; null where a part is missing or the whole is 0."""
+    return F.when(total(parts) > 0, F.array(*closure(parts)))
+
+
 def zero_replaced(parts: Parts, delta: float | None = None) -> Parts:
     """Closed shares without zeros: a zero or unmeasured part gets delta = (1 / k)^2, the others shrink in proportion."""
     delta = (1 / len(parts)) ** 2 if delta is None else delta

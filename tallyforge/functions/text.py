@@ -71,6 +71,12 @@ def collapse_spaces(text: Column) -> Column:
     return trim_spaces(F.regexp_replace(F.regexp_replace(text, r"\[[^\]]*\]|\*", ""), rf"[{SPACES}]+", " "))
 
 
+def initials(text: Column) -> Column:
+    """First letters of a name's words, in capitals, without accents."""
+    words = F.filter(F.split(fold(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.array_join(F.transform(words, lambda w: F.upper(F.substring(w, 1, 1))), "")
+
+
 # French month names without accents, in calendar order.
 FRENCH_MONTHS = ["janvier", "fevrier", "mars", "avril", "mai", "juin", "juillet", "aout", "septembre", "octobre", "novembre", "decembre"]
 

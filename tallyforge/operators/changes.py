@@ -34,36 +34,34 @@ def _rows(shares: DataFrame, revisions: DataFrame, tolerance: float) -> DataFram
     near = F.coalesce(F.abs(F.col("pct") - F.col("before.pct")) <= F.lit(tolerance), F.lit(False))
     same = (F.col("row_hash") == F.col("before.row_hash")) | near
     adjacent = F.coalesce(F.col("before.revid") == F.col("prev_revid"), F.lit(False))
-    return (
-        values.withColumn("before", before)
-        .withColumn("adjacent", adjacent).withColumn("starts", ~(adjacent & F.coalesce(same, F.lit(False))))
-        .withColumn("following", F.lead("revid").over(run))
-    )
+    return values.withColumn("before", before).withColumn("starts", ~(adjacent & F.coalesce(same, F.lit(False))))
 
 
 def validity_intervals(shares: DataFrame, pages: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
-    """Maximal runs of neighbouring revisions with one value: (key, valid_from, last_revid, valid_to, pct).
+    """Maximal runs of neighbouring revisions with one value: (key, valid_from, last_revid, valid_to, pct, before_first).
 
-    valid_to is the first revision without the value, null while the run lasts to the title's last revision.
+    valid_to is the first revision without the value, null while the run lasts to the title's last revision;
+    before_first is the revision before valid_from, null at the title's first.
     """
     rows = _rows(shares, revision_order(pages), tolerance)
     numbered = rows.withColumn("island", F.sum(F.col("starts").cast("int")).over(Window.partitionBy(*KEY).orderBy("revid").rowsBetween(Window.unboundedPreceding, 0)))
     return numbered.groupBy(*KEY, "island").agg(
-        F.min("revid").alias("valid_from"), F.max("revid").alias("last_revid"), F.max_by("next_revid", "revid").alias("valid_to"), F.min_by("pct", "revid").alias("pct")
+        F.min("revid").alias("valid_from"), F.max("revid").alias("last_revid"), F.max_by("next_revid", "revid").alias("valid_to"), F.min_by("pct", "revid").alias("pct"), F.min_by("prev_revid", "revid").alias("before_first")
     ).drop("island")
 
 
 def change_events(shares: DataFrame, pages: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """Change events between neighbouring revisions: (title, revid, poll_id, party_code, change_kind).
 
-    An island that starts right after another one of its key is a change, any other start an addition
-    unless it is the title's first revision; an end that no row follows directly is a removal, even at a
+    An interval that starts where another one of its key ends is a change, any other start an addition
+    unless it is the title's first revision; an end where no interval starts is a removal, even at a
     revision with an empty table. Repeated rows count once; of different values for one key and
     revision the smallest counts; rows of unknown revisions, and rows without a key, are left out. A null
     value differs from any number and equals null.
     """
-    rows = _rows(shares, revision_order(pages), tolerance)
-    start = F.when(F.col("starts") & F.col("prev_revid").isNotNull(), F.when(F.col("adjacent"), "changed").otherwise("added"))
-    end = F.when(F.col("next_revid").isNotNull() & ~F.coalesce(F.col("following") == F.col("next_revid"), F.lit(False)), "removed")
-    events = F.array(F.struct(F.col("revid").alias("revid"), start.alias("change_kind")), F.struct(F.col("next_revid").alias("revid"), end.alias("change_kind")))
-    return rows.select(*KEY, F.explode(events).alias("e")).where("e.change_kind IS NOT NULL").select("title", "e.revid", "poll_id", "party_code", "e.change_kind")
+    run = Window.partitionBy(*KEY).orderBy("valid_from")
+    spans = validity_intervals(shares, pages, tolerance).select(*KEY, "valid_from", "valid_to", "before_first", F.lag("valid_to").over(run).alias("ended"), F.lead("valid_from").over(run).alias("follows"))
+    start = F.when(F.col("valid_from") == F.col("ended"), "changed").when(F.col("before_first").isNotNull(), "added")
+    end = F.when(F.col("valid_to").isNotNull() & ~F.col("valid_to").eqNullSafe(F.col("follows")), "removed")
+    events = F.array(F.struct(F.col("valid_from").alias("revid"), start.alias("change_kind")), F.struct(F.col("valid_to").alias("revid"), end.alias("change_kind")))
+    return spans.select(*KEY, F.explode(events).alias("e")).where("e.change_kind IS NOT NULL").select("title", "e.revid", "poll_id", "party_code", "e.change_kind")

@@ -54,6 +54,24 @@ def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], update: Se
     return joined.select(*keys, *merged)
 
 
+def replace_slice(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The target with every slice that the source has rows of replaced by these rows. A null key is a slice of its own. Doing it twice changes nothing."""
+    slices = source.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return target.join(slices, same, "left_anti").unionByName(source.select(*target.columns))
+
+
+def repeated(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows beyond the first of their key, as one row (n_broken); nulls count as a value."""
+    return df.groupBy(*keys).agg((F.count(F.lit(1)) - 1).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_broken"))
+
+
+def dangling(child: DataFrame, parent: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of the child whose key the parent lacks, as one row (n_broken); a null key is dangling. The child's rows are counted per key before they meet the parent."""
+    counts = child.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(parent.select(*keys).distinct(), list(keys), "left_anti").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_broken"))
+
+
 def delete_in(target: DataFrame, keys: DataFrame) -> DataFrame:
     """Rows of the target whose key columns are not among the keys."""
     return target.join(keys, keys.columns, "left_anti")

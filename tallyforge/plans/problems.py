@@ -77,7 +77,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p5_intervals(spark: SparkSession, folder: str) -> DataFrame:
     spans = changes.validity_intervals(read_table(spark, folder, "snapshot_shares"), read_table(spark, folder, "page_snapshots"))
-    return spans.withColumn("pct", F.round("pct", 2))
+    return spans.drop("before_first").withColumn("pct", F.round("pct", 2))
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -129,6 +129,10 @@ WITH rv AS (SELECT title, revid, lag(revid) OVER w AS prev, lead(revid) OVER w A
 s AS (SELECT title, revid, poll_id, party_code, min(pct_reported) AS v FROM snapshot_shares GROUP BY ALL),
 r AS (SELECT s.*, rv.prev, rv.nxt FROM s JOIN rv USING (title, revid))
 """
+_RUN = "(PARTITION BY title, poll_id, party_code ORDER BY revid)"
+_INTERVALS = _CHANGES + f""", k AS (SELECT *, CASE WHEN lag(revid) OVER w = prev AND (v IS NOT DISTINCT FROM lag(v) OVER w OR abs(v - lag(v) OVER w) <= 0.01) THEN 0 ELSE 1 END AS st
+  FROM r WHERE poll_id IS NOT NULL AND party_code IS NOT NULL WINDOW w AS {_RUN}), i AS (SELECT *, sum(st) OVER {_RUN} AS island FROM k)
+SELECT title, poll_id, party_code, min(revid) AS valid_from, max(revid) AS last_revid, first(nxt ORDER BY revid DESC) AS valid_to, round(first(v ORDER BY revid), 2) AS pct FROM i GROUP BY title, poll_id, party_code, island"""
 _MOVED = "((b.v IS NULL) <> (a.v IS NULL) OR abs(b.v - a.v) > 0.01)"
 _PIECE = '(?:"(?:[^"]|"")*"|[^",]*)'
 _PARSE = f"""
@@ -143,6 +147,11 @@ c AS (SELECT *, CASE WHEN regexp_full_match(t, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}
                      ELSE try_cast(p.yy || '-' || list_position(['janvier','fevrier','mars','avril','mai','juin','juillet','aout','septembre','octobre','novembre','decembre'], p.mm) || '-' || p.dd AS DATE) END AS day FROM m)
 """
 
+VALID_SQL = "coalesce(quoted AND len(f) = 9 AND day IS NOT NULL AND (z = '' OR (regexp_full_match(z, '[0-9]+') AND NOT regexp_full_match(z, '0+'))), false)"
+PARSE_SQL = _PARSE
+_NUMBER = r"try_cast(replace(regexp_replace(regexp_replace({0}, '\[[^\]]*\]', '', 'g'), '[\s\x{{00a0}}\x{{2009}}\x{{202f}}%±]', '', 'g'), ',', '.') AS DOUBLE)"
+SHARES_SQL = ", ".join(f"{_NUMBER.format(f'g[{i + 1}]')} AS {parsing.FIELDS[i]}" for i in range(3, 8))
+
 ORACLE = {
     "p1_found": _ORPHANS + "SELECT table_name, period, row_id FROM orphan",
     "p1_counts": _ORPHANS + "SELECT table_name, period, count(*) AS n_rows, count(DISTINCT (scope, k)) AS n_keys FROM orphan GROUP BY 1, 2",
@@ -157,8 +166,10 @@ ORACLE = {
         UNION ALL SELECT a.title, a.nxt, a.poll_id, a.party_code, 'removed' FROM r a
         LEFT JOIN s b ON b.title = a.title AND b.revid = a.nxt AND b.poll_id = a.poll_id AND b.party_code = a.party_code WHERE a.nxt IS NOT NULL AND b.title IS NULL""",
     "p6_found": _PARSE + """SELECT line_id, CASE WHEN NOT quoted THEN 'quoting' WHEN len(f) <> 9 THEN 'column_count' WHEN day IS NULL THEN 'poll_date' ELSE 'sample_size' END AS reason
-        FROM c WHERE NOT coalesce(quoted AND len(f) = 9 AND day IS NOT NULL AND (z = '' OR (regexp_full_match(z, '[0-9]+') AND NOT regexp_full_match(z, '0+'))), false)""",
+        FROM c WHERE NOT """ + VALID_SQL,
+    "p6_loaded": _PARSE + f"SELECT line_id, title, day AS poll_date, trim(g[2]) AS firm, try_cast(nullif(z, '') AS BIGINT) AS sample_size, {SHARES_SQL}, g[9] AS note FROM c WHERE {VALID_SQL}",
 }
+ORACLE["p5_intervals"] = _INTERVALS
 _STATES = """
 WITH cells AS (
   SELECT 'polls' AS table_name, 'sample_size' AS column_name, feed, load_id, CAST(sample_size AS DOUBLE) AS num, NULL AS txt, 100 AS lo, 20000 AS hi FROM polls

@@ -11,6 +11,7 @@ from tallyforge.functions import stats, timeaxis
 from tallyforge.functions.text import collapse_spaces, locale_number, name_key, poll_id
 from tallyforge.operators import parsing, relational
 from tallyforge.plans import tables as t
+from tallyforge.plans.problems import PARSE_SQL, SHARES_SQL, VALID_SQL
 from tallyforge.plans.registry import Catalogue
 from tallyforge.session import read_table
 
@@ -140,7 +141,7 @@ def watchlist_topk(spark: SparkSession, folder: str) -> DataFrame:
     return runner_up_margin(spark, folder).where("margin IS NOT NULL").orderBy("margin", "poll_id").limit(20)
 
 
-_AS_OF = "2022-10-03"
+_AS_OF, _CUTOFF = "2022-10-03", "2014-04-07"
 
 
 @query(f"""WITH {t.POLL_SQL} SELECT firm, poll_id, poll_date FROM poll WHERE poll_date <= DATE '{_AS_OF}'
@@ -152,9 +153,9 @@ def latest_per_key(spark: SparkSession, folder: str) -> DataFrame:
     return best.select("firm", "b.poll_id", "b.poll_date")
 
 
-@query(f"""WITH {t.POLL_SQL} SELECT firm, poll_id, poll_date FROM poll WHERE poll_date > DATE '{_AS_OF}' QUALIFY dense_rank() OVER (PARTITION BY firm ORDER BY poll_date) = 1""")
+@query(f"""WITH {t.POLL_SQL} SELECT firm, poll_id, poll_date FROM poll WHERE poll_date > DATE '{_CUTOFF}' QUALIFY dense_rank() OVER (PARTITION BY firm ORDER BY poll_date) = 1""")
 def next_after_cutoff(spark: SparkSession, folder: str) -> DataFrame:
-    later = t.polls(spark, folder).where(F.col("poll_date") > F.lit(_AS_OF).cast("date"))
+    later = t.polls(spark, folder).where(F.col("poll_date") > F.lit(_CUTOFF).cast("date"))
     first = later.groupBy("firm").agg(F.min("poll_date").alias("poll_date"))
     return later.join(first, ["firm", "poll_date"], "left_semi").select("firm", "poll_id", "poll_date")
 
@@ -347,7 +348,7 @@ def name_keys(spark: SparkSession, folder: str) -> DataFrame:
     return read_table(spark, folder, "polls").groupBy("firm").agg(F.count(F.lit(1)).alias("n")).select("firm", name_key(F.col("firm")).alias("key"), "n")
 
 
-@query()
+@query(PARSE_SQL + f"""SELECT line_id, trim(regexp_replace(regexp_replace(g[2], '\\[[^\\]]*\\]|\\*', '', 'g'), '[\\s\\x{{00a0}}\\x{{2009}}\\x{{202f}}]+', ' ', 'g')) AS firm, {SHARES_SQL} FROM c WHERE {VALID_SQL}""")
 def number_parse(spark: SparkSession, folder: str) -> DataFrame:
     """Shares typed with signs, notes and decimal commas, from the strictly loaded records, with cleaned firm names."""
     return parsing.strict_load(read_table(spark, folder, "poll_rows_raw")).select("line_id", collapse_spaces(F.col("firm")).alias("firm"), *[F.col(c) for c in parsing.FIELDS[3:8]])

@@ -190,6 +190,18 @@ def test_trend_follows_its_data_and_weights_add_up(spark):
     assert gp.two_stage_grid(obs.limit(0), ["s"], [20], [0.1], [1.0], [1]).count() == 0
 
 
+def test_slices_constraints_and_closed_arrays(spark):
+    old = spark.createDataFrame([("a", 1), ("a", 2), (None, 3), ("b", 4)], "k string, v int")
+    new = spark.createDataFrame([("a", 9), (None, 8), ("c", 7)], "k string, v int")
+    once = relational.replace_slice(old, new, ["k"])
+    assert sorted(map(str, once.collect())) == sorted(map(str, relational.replace_slice(once, new, ["k"]).collect()))
+    assert sorted(r.v for r in once.collect()) == [4, 7, 8, 9] and relational.replace_slice(old.limit(0), new, ["k"]).count() == 3
+    assert relational.repeated(old, ["k"]).first().n_broken == 1 and relational.repeated(old.limit(0), ["k"]).first().n_broken == 0
+    assert relational.dangling(old, new, ["k"]).first().n_broken == 2 and relational.dangling(old.limit(0), new, ["k"]).first().n_broken == 0
+    parts = spark.createDataFrame([(1.0, 3.0), (0.0, 0.0), (None, 1.0)], "x double, y double")
+    assert [r.c for r in parts.select(comp.closed_array([F.col("x"), F.col("y")]).alias("c")).collect()] == [[0.25, 0.75], None, None]
+
+
 def test_pages_are_walked_in_order(spark):
     html = "<h2>A</h2><p>x&nbsp;y</p><h3>B</h3><table><tr><th>H</th></tr><tr><td>1<td><a href='http://u'>2</a></td></table><h2>C</h2><li>z"
     df = spark.createDataFrame([("t", 1, html, 1), ("t", 2, None, 1), ("t", 3, "", 1), ("t", 4, "<<p>" + "<b>" * 20000, 1)], "title string, revid long, html string, pos int")
@@ -204,10 +216,10 @@ def test_file_sources_and_document(spark, tmp_path):
     assert sorted(map(tuple, shards.collect())) == [(1, "x", "24001"), (2, "y, z", "24002")]
     assert files.read_json_records(spark, str(tmp_path / "none.json"), "a int", optional=True).count() == 0
     files.write_document({"s": shards, "big": spark.range(5)}, str(tmp_path / "doc"), max_rows=3)
-    import json
-
-    document = json.loads((tmp_path / "doc" / "document.json").read_text())
-    assert len(document["s"]) == 2 and document["big"] == {"path": "big"} and os.path.isdir(tmp_path / "doc" / "big")
+    document = {r.section: r for r in spark.read.json(str(tmp_path / "doc" / "document")).collect()}
+    assert len(document["s"].rows) == 2 and document["big"].rows is None and (document["big"].path, document["big"].n_rows) == ("big", 5) and os.path.isdir(tmp_path / "doc" / "big")
+    files.write_document({"x": spark.range(2), "y": spark.range(5)}, str(tmp_path / "ids"), max_rows=3)
+    assert sorted(map(tuple, files.read_document(spark, str(tmp_path / "ids"), "id long").select("section", "id").collect())) == [("x", 0), ("x", 1), *(("y", i) for i in range(5))]
     files.write_records(shards, str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).count() == 2
 
