@@ -17,12 +17,16 @@ from tallyforge.session import checkpoint
 NGRAM = 3
 #: Least cosine of two spellings that are compared further, and the share of a vector's length that its index may leave out.
 MIN_COSINE, INDEX_REST = 0.3, 0.2
-#: Partners a spelling keeps, best first; those above SURE_COSINE are kept beyond it, however many.
-TOP_N, SURE_COSINE = 50, 0.55
+#: Partners a spelling keeps, best first; None keeps all above MIN_COSINE, so that no link can be lost. Those above SURE_COSINE are kept beyond it, however many.
+TOP_N, SURE_COSINE = None, 0.55
 #: Least average likeness at which two groups of spellings are one name.
 LINKAGE = 0.6
 #: A word that stands last in so large a share of the names (by its first three letters) tells no name apart: there are at most 1 / COMMON_SHARE of them.
 COMMON_SHARE = 0.01
+#: Names of one gram, or spellings of one group, that one task pairs with all of these; more are spread over tasks.
+PAIRED_AT_ONCE = 1_000
+#: Components of likely pairs of so many names or fewer are linked whole, about BUCKET_ROWS rows of them in a task; larger ones are linked by joins.
+COMPONENT_NAMES, BUCKET_ROWS = 200, 20_000
 
 # Legal forms and joining words that belong to no name.
 _EMPTY_WORDS = ["inc", "ltee", "ltd", "llc", "corp", "enr", "sa", "sarl", "cie", "co", "et", "and", "y"]
@@ -86,6 +90,11 @@ def vectors(grams: DataFrame, n_forms: int) -> DataFrame:
     return raw.select("id", "gram", "df", (F.col("raw") / length).alias("weight"))
 
 
+def spread() -> Column:
+    """Slots over which the rows of a key are spread before they are paired: one for each PAIRED_AT_ONCE of them."""
+    return F.ceil(F.count(F.lit(1)) / PAIRED_AT_ONCE)
+
+
 def cosine_join(unit: DataFrame, min_cosine: float = MIN_COSINE, rest: float = INDEX_REST) -> DataFrame:
     """All pairs of vectors with at least min_cosine: (a, b, cosine), a < b; exact.
 
@@ -96,9 +105,11 @@ def cosine_join(unit: DataFrame, min_cosine: float = MIN_COSINE, rest: float = I
     rarest = Window.partitionBy("id").orderBy("df", "gram")
     left = 1 - F.coalesce(F.sum(F.col("weight") * F.col("weight")).over(rarest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     index = unit.withColumn("left", left).where(F.col("left") >= rest * rest).select("id", "gram", "weight")
-    x, y = index.alias("x"), index.alias("y")
+    index = index.join(index.groupBy("gram").agg(spread().alias("slots")).where("slots > 1"), "gram", "left").withColumn("slots", F.coalesce("slots", F.lit(1)))
+    x = index.withColumn("slot", F.pmod(F.xxhash64("id"), F.col("slots"))).alias("x")
+    y = index.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1))).alias("y")
     near = (
-        x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.id") < F.col("y.id")))
+        x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.slot") == F.col("y.slot")) & (F.col("x.id") < F.col("y.id")))
         .groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.sum(F.col("x.weight") * F.col("y.weight")).alias("part"))
         .where(F.col("part") >= min_cosine - rest - 1e-9).select("a", "b")
     )
@@ -108,8 +119,10 @@ def cosine_join(unit: DataFrame, min_cosine: float = MIN_COSINE, rest: float = I
     return both.select("a", "b", dot.alias("cosine")).where(F.col("cosine") >= min_cosine)
 
 
-def top_partners(pairs: DataFrame, n: int = TOP_N, sure: float = SURE_COSINE) -> DataFrame:
-    """Pairs among the n best of either partner, and all at or above `sure`, so that the cap loses no likely link."""
+def top_partners(pairs: DataFrame, n: int | None = TOP_N, sure: float = SURE_COSINE) -> DataFrame:
+    """Pairs among the n best of either partner, and all at or above `sure`, so that the cap loses no likely link; all pairs if n is None."""
+    if n is None:
+        return pairs
     ends = F.array(F.col("a"), F.col("b"))
     weak = pairs.where(F.col("cosine") < sure)
     order = Window.partitionBy("own").orderBy(F.col("cosine").desc(), "a", "b")
@@ -198,21 +211,88 @@ def likenesses(pairs: DataFrame, forms: DataFrame, common: list[str]) -> DataFra
     return both.mapInPandas(run, "a long, b long, s double")
 
 
-def average_linkage(nodes: DataFrame, pairs: DataFrame, threshold: float = LINKAGE, max_rounds: int = 100) -> DataFrame:
+def components(pairs: DataFrame) -> DataFrame:
+    """The least id that each id of (a, b) can be reached from: (id, component). Labels sink along the pairs and jump along themselves, so that the rounds grow as the logarithm of the longest path."""
+    both = checkpoint(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    labels = checkpoint(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
+    while True:
+        own = labels.select(F.col("id").alias("b"), F.col("component").alias("other"))
+        sunk = both.join(own, "b").groupBy(F.col("a").alias("id")).agg(F.min("other").alias("other"))
+        lower = labels.join(sunk, "id").select("id", F.col("component").alias("before"), F.least("component", "other").alias("b"))
+        jumped = checkpoint(lower.join(own, "b").select("id", "before", F.least("b", "other").alias("component")))
+        if jumped.where("component <> before").isEmpty():
+            return labels
+        labels = jumped.drop("before")
+
+
+def link(mass: dict[int, float], likeness: dict[tuple[int, int], float], threshold: float) -> dict[int, int]:
+    """Average linkage of a few names, the most alike pair of groups first; of equal ones that of the smaller ids. A group is named by its least id."""
+    total = {(i, j): s * mass[i] * mass[j] for (i, j), s in likeness.items()}
+    mass, group = dict(mass), {i: i for i in mass}
+    while total:
+        avg, a, b = max((round(t / (mass[i] * mass[j]), 9), -i, -j) for (i, j), t in total.items())
+        if avg < threshold:
+            break
+        a, b = -a, -b
+        mass[a] += mass.pop(b)
+        group = {i: a if c == b else c for i, c in group.items()}
+        for i, j in [k for k in total if b in k]:
+            t, other = total.pop((i, j)), i + j - b
+            if other != a:
+                key = min(a, other), max(a, other)
+                total[key] = total.get(key, 0.0) + t
+    return group
+
+
+def average_linkage(nodes: DataFrame, pairs: DataFrame, threshold: float = LINKAGE, component_names: int = COMPONENT_NAMES) -> DataFrame:
     """Groups by average linkage: (id, cluster). nodes: (id, mass), pairs: (a, b, s) with a < b; absent pairs count as 0.
 
-    A spelling weighs as much as its rows. In each round all pairs of groups that are each other's nearest
-    merge at once; for average linkage this gives the same groups as merging one pair at a time. The rounds
-    run as joins and sums over pairs of groups; no group meets in one task. Ties go to the smaller ids.
+    A spelling weighs as much as its rows. Groups that hold no pair at or above the threshold never merge, so each connected
+    component of such pairs is linked on its own: those of at most component_names names many to a task, larger ones by rounds of joins. Ties go to the smaller ids.
+    """
+    nodes, pairs = checkpoint(nodes.select("id", F.col("mass").cast("double").alias("mass"))), checkpoint(pairs.select("a", "b", "s"))
+    member = components(pairs.where(F.col("s") >= threshold))
+    sizes = member.groupBy("component").agg(F.count(F.lit(1)).alias("names"))
+    placed = checkpoint(member.join(sizes, "component").join(nodes, "id"))
+    a, b = (placed.select(F.col("id").alias(x), F.col("component").alias(f"c{x}"), "names") for x in "ab")
+    inner = checkpoint(pairs.join(a, "a").join(b.drop("names"), "b").where("ca = cb").select(F.col("ca").alias("component"), "names", "a", "b", "s"))
+    small, large = F.col("names") <= component_names, F.col("names") > component_names
+    rows = placed.where(small).select("component", F.col("id").alias("a"), F.col("id").alias("b"), F.col("mass").alias("s")).unionByName(inner.where(small).drop("names"))
+    buckets = max(1, rows.count() // BUCKET_ROWS)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, part in pdf.groupby("component", sort=False):
+            mass, likeness = {}, {}
+            for i, j, s in zip(part.a.tolist(), part.b.tolist(), part.s.tolist()):
+                if i == j:
+                    mass[i] = s
+                else:
+                    likeness[i, j] = s
+            out += link(mass, likeness, threshold).items()
+        return pd.DataFrame(out, columns=["id", "cluster"])
+
+    linked = rows.groupBy(F.pmod(F.xxhash64("component"), F.lit(buckets))).applyInPandas(run, "id long, cluster long")
+    rest = placed.where(large)
+    if not rest.isEmpty():
+        linked = linked.unionByName(linked_by_joins(rest.select("id", "mass"), inner.where(large).select("a", "b", "s"), threshold))
+    return nodes.select("id").join(linked, "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster"))
+
+
+def linked_by_joins(nodes: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """Average linkage whose groups may be of any size: (id, cluster).
+
+    In each round all pairs of groups that are each other's nearest merge at once; for average linkage this gives the
+    same groups as merging one pair at a time. It ends when nothing merges any more. No group meets in one task.
     """
     clusters = checkpoint(nodes.select("id", F.col("id").alias("cluster")))
-    sizes = checkpoint(nodes.select(F.col("id").alias("c"), F.col("mass").cast("double").alias("mass")))
-    weighted = (
-        pairs.join(sizes.select(F.col("c").alias("a"), F.col("mass").alias("ma")), "a").join(sizes.select(F.col("c").alias("b"), F.col("mass").alias("mb")), "b")
-        .select("a", "b", (F.col("s") * F.col("ma") * F.col("mb")).alias("total"), "ma", "mb")
-    )
-    links = checkpoint(weighted)
-    for _ in range(max_rounds):
+    sizes = checkpoint(nodes.select(F.col("id").alias("c"), "mass"))
+
+    def weighed(links: DataFrame, sizes: DataFrame) -> DataFrame:
+        return links.join(sizes.select(F.col("c").alias("a"), F.col("mass").alias("ma")), "a").join(sizes.select(F.col("c").alias("b"), F.col("mass").alias("mb")), "b")
+
+    links = checkpoint(weighed(pairs, sizes).select("a", "b", (F.col("s") * F.col("ma") * F.col("mb")).alias("total"), "ma", "mb"))
+    while True:
         rated = links.select("a", "b", F.round(F.col("total") / (F.col("ma") * F.col("mb")), 9).alias("avg")).where(F.col("avg") >= threshold)
         ends = F.array(F.struct(F.col("a").alias("c"), F.col("b").alias("other")), F.struct(F.col("b").alias("c"), F.col("a").alias("other")))
         key = F.struct("avg", (-F.col("a")).alias("na"), (-F.col("b")).alias("nb"))
@@ -220,7 +300,7 @@ def average_linkage(nodes: DataFrame, pairs: DataFrame, threshold: float = LINKA
         mutual = best.alias("x").join(best.alias("y"), (F.col("x.other") == F.col("y.c")) & (F.col("y.other") == F.col("x.c")) & (F.col("x.c") < F.col("x.other")))
         merges = checkpoint(mutual.select(F.col("x.other").alias("old"), F.col("x.c").alias("new")))
         if merges.isEmpty():
-            break
+            return clusters
 
         def renamed(df: DataFrame, column: str, merges: DataFrame = merges) -> DataFrame:
             to = merges.select(F.col("old").alias(column), F.col("new").alias("_new"))
@@ -230,10 +310,7 @@ def average_linkage(nodes: DataFrame, pairs: DataFrame, threshold: float = LINKA
         sizes = checkpoint(renamed(sizes, "c").groupBy("c").agg(F.sum("mass").alias("mass")))
         moved = renamed(renamed(links.select("a", "b", "total"), "a"), "b").where("a <> b")
         summed = moved.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("total").alias("total"))
-        links = checkpoint(
-            summed.join(sizes.select(F.col("c").alias("a"), F.col("mass").alias("ma")), "a").join(sizes.select(F.col("c").alias("b"), F.col("mass").alias("mb")), "b").select("a", "b", "total", "ma", "mb")
-        )
-    return clusters
+        links = checkpoint(weighed(summed, sizes).select("a", "b", "total", "ma", "mb"))
 
 
 def spellings(rows: DataFrame, column: str) -> DataFrame:
@@ -244,7 +321,7 @@ def spellings(rows: DataFrame, column: str) -> DataFrame:
     """
     values = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n")).withColumn("form", form(F.col("value")))
     values = checkpoint(values.withColumn("form", F.when(F.col("form") == "", F.concat(F.lit("="), F.col("value"))).otherwise(F.col("form"))))
-    forms = checkpoint(values.groupBy("form").agg(F.sum("n").alias("mass")).withColumn("id", F.xxhash64("form")))
+    forms = checkpoint(checkpoint(values.groupBy("form").agg(F.sum("n").alias("mass"))).withColumn("id", F.monotonically_increasing_id()))
     linkable = forms.where(~F.col("form").startswith("="))
     common = common_endings(linkable)
     unit = checkpoint(vectors(gram_counts(linkable, common), max(1, linkable.count())))
@@ -254,6 +331,9 @@ def spellings(rows: DataFrame, column: str) -> DataFrame:
 
 
 def linked_pairs(groups: DataFrame) -> DataFrame:
-    """Each pair of different stored values of one group once, the smaller by code point first: (a, b)."""
-    x, y = groups.select("cluster", F.col("value").alias("a")), groups.select("cluster", F.col("value").alias("b"))
-    return x.join(y, "cluster").where(F.col("a") < F.col("b")).select("a", "b")
+    """Each pair of different stored values of one group once, the smaller by code point first: (a, b). A large group's values are spread over tasks."""
+    slots = groups.groupBy("cluster").agg(spread().alias("slots"))
+    each = groups.select("cluster", "value").join(slots, "cluster")
+    x = each.select("cluster", F.col("value").alias("a"), F.pmod(F.xxhash64("value"), F.col("slots")).alias("slot"))
+    y = each.select("cluster", F.col("value").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)).alias("slot"))
+    return x.join(y, ["cluster", "slot"]).where(F.col("a") < F.col("b")).select("a", "b")

@@ -270,7 +270,7 @@ def test_spellings_of_one_firm_are_linked_and_others_are_not(spark):
     assert spelling.spellings(df.limit(0), "firm").count() == 0
 
 
-def test_cosine_join_equals_brute_force(spark):
+def test_cosine_join_equals_brute_force(spark, monkeypatch):
     rng = random.Random(12)
     vectors = {i: {g: rng.random() + 0.1 for g in rng.sample("abcdefghijkl", rng.randrange(1, 6))} for i in range(60)}
     df = {g: sum(g in v for v in vectors.values()) for g in "abcdefghijkl"}
@@ -281,19 +281,38 @@ def test_cosine_join_equals_brute_force(spark):
         rows += [(i, g, df[g], x) for g, x in unit[i].items()]
     table = spark.createDataFrame(rows, "id long, gram string, df long, weight double")
     found = {(r.a, r.b): r.cosine for r in spelling.cosine_join(table, 0.5, 0.3).collect()}
+    monkeypatch.setattr(spelling, "PAIRED_AT_ONCE", 3)  # every gram is spread over slots
+    assert {(r.a, r.b): r.cosine for r in spelling.cosine_join(table, 0.5, 0.3).collect()} == pytest.approx(found)
     dot = lambda a, b: sum(x * unit[b].get(g, 0) for g, x in unit[a].items())
     expected = {(a, b): dot(a, b) for a in unit for b in unit if a < b and dot(a, b) >= 0.5}
     assert found == pytest.approx(expected)
 
 
-def test_average_linkage_equals_one_merge_at_a_time(spark):
+def test_components_reach_along_paths_of_any_length(spark):
+    ids = random.Random(3).sample(range(1000), 60)
+    chain = [(min(x), max(x)) for x in zip(ids[:40], ids[1:40])]
+    star = [(min(ids[40], i), max(ids[40], i)) for i in ids[41:]]
+    found = {r.id: r.component for r in spelling.components(spark.createDataFrame([*chain, *star, chain[0]], "a long, b long")).collect()}
+    assert found == {i: min(ids[:40]) for i in ids[:40]} | {i: min(ids[40:]) for i in ids[40:]}
+    assert spelling.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_pairs_of_a_spread_group_are_whole(spark, monkeypatch):
+    monkeypatch.setattr(spelling, "PAIRED_AT_ONCE", 4)
+    groups = spark.createDataFrame([(i % 2, f"v{i:02}") for i in range(31)], "cluster long, value string")
+    found = sorted((r.a, r.b) for r in spelling.linked_pairs(groups).collect())
+    assert found == sorted((f"v{i:02}", f"v{j:02}") for i in range(31) for j in range(i + 2, 31, 2))
+
+
+@pytest.mark.parametrize("component_names", [200, 3, 0])
+def test_average_linkage_equals_one_merge_at_a_time(spark, component_names):
     rng = random.Random(14)
     mass = {i: rng.randrange(1, 9) for i in range(25)}
     sims = {(a, b): round(rng.uniform(0.3, 1), 6) for a in mass for b in mass if a < b and rng.random() < 0.3}
     nodes = spark.createDataFrame(list(mass.items()), "id long, mass long")
     pairs = spark.createDataFrame([(a, b, s) for (a, b), s in sims.items()], "a long, b long, s double")
     found = {}
-    for r in spelling.average_linkage(nodes, pairs, 0.6).collect():
+    for r in spelling.average_linkage(nodes, pairs, 0.6, component_names).collect():
         found.setdefault(r.cluster, set()).add(r.id)
     groups = [{i} for i in mass]
     while True:
