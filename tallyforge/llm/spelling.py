@@ -212,17 +212,22 @@ def likenesses(pairs: DataFrame, forms: DataFrame, common: list[str]) -> DataFra
 
 
 def components(pairs: DataFrame) -> DataFrame:
-    """The least id that each id of (a, b) can be reached from: (id, component). Labels sink along the pairs and jump along themselves, so that the rounds grow as the logarithm of the longest path."""
+    """The least id that each id of (a, b) can be reached from: (id, component).
+
+    Labels sink along the pairs to whole components, and jump along themselves, so that the rounds grow about as the logarithm of the longest path.
+    """
     both = checkpoint(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     labels = checkpoint(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
     while True:
-        own = labels.select(F.col("id").alias("b"), F.col("component").alias("other"))
-        sunk = both.join(own, "b").groupBy(F.col("a").alias("id")).agg(F.min("other").alias("other"))
-        lower = labels.join(sunk, "id").select("id", F.col("component").alias("before"), F.least("component", "other").alias("b"))
-        jumped = checkpoint(lower.join(own, "b").select("id", "before", F.least("b", "other").alias("component")))
-        if jumped.where("component <> before").isEmpty():
+        name = labels.select(F.col("id").alias("b"), F.col("component").alias("other"))
+        sunk = both.join(name, "b").groupBy(F.col("a").alias("id")).agg(F.min("other").alias("other"))
+        lower = checkpoint(labels.join(sunk, "id").select("id", F.col("component").alias("before"), F.least("component", "other").alias("b")))
+        hooked = lower.where("b < before").groupBy(F.col("before").alias("id")).agg(F.min("b").alias("hook"))  # what a component's members have found sinks to its least id
+        if hooked.isEmpty():
             return labels
-        labels = jumped.drop("before")
+        now = checkpoint(lower.join(hooked, "id", "left").select("id", F.least("b", "hook").alias("b")))
+        jump = now.select(F.col("id").alias("b"), F.col("b").alias("other"))
+        labels = checkpoint(now.join(jump, "b").select("id", F.least("b", "other").alias("component")))
 
 
 def link(mass: dict[int, float], likeness: dict[tuple[int, int], float], threshold: float) -> dict[int, int]:

@@ -304,7 +304,7 @@ def test_pairs_of_a_spread_group_are_whole(spark, monkeypatch):
     assert found == sorted((f"v{i:02}", f"v{j:02}") for i in range(31) for j in range(i + 2, 31, 2))
 
 
-@pytest.mark.parametrize("component_names", [200, 3, 0])
+@pytest.mark.parametrize("component_names", [200, 5])
 def test_average_linkage_equals_one_merge_at_a_time(spark, component_names):
     rng = random.Random(14)
     mass = {i: rng.randrange(1, 9) for i in range(25)}
