@@ -13,7 +13,7 @@ from tallyforge.operators import parsing, relational
 from tallyforge.plans import tables as t
 from tallyforge.plans.problems import PARSE_SQL, SHARES_SQL, VALID_SQL
 from tallyforge.plans.registry import Catalogue
-from tallyforge.session import read_table
+from tallyforge.session import checkpoint, read_table
 
 CATALOGUE = Catalogue()
 query = CATALOGUE.query
@@ -202,7 +202,7 @@ cen AS (SELECT party_code, sum(n * e) / sum(n) AS c FROM shr GROUP BY 1)"""
 def house_effects(spark: SparkSession, folder: str) -> DataFrame:
     """Firms' mean residuals, weighted by precision, shrunk by n / (n + 5) and centred per party."""
     w = F.sqrt(F.when(F.col("sample_size") > 0, F.col("sample_size")).otherwise(1000))
-    raw = _residuals(spark, folder).groupBy("firm", "party_code").agg((F.sum(w * F.col("r")) / F.sum(w)).alias("e"), F.count(F.lit(1)).alias("n"))
+    raw = checkpoint(_residuals(spark, folder).groupBy("firm", "party_code").agg((F.sum(w * F.col("r")) / F.sum(w)).alias("e"), F.count(F.lit(1)).alias("n")))  # read twice
     shrunk = raw.withColumn("e", F.col("e") * F.col("n") / (F.col("n") + SHRINK))
     centre = shrunk.groupBy("party_code").agg((F.sum(F.col("n") * F.col("e")) / F.sum("n")).alias("c"))
     return shrunk.join(centre, "party_code").select("firm", "party_code", "n", F.round(F.col("e") - F.col("c"), 6).alias("effect"))
@@ -214,12 +214,13 @@ def house_effects(spark: SparkSession, folder: str) -> DataFrame:
   SELECT firm, n, round(m / (SELECT sum(n * m) / sum(n) FROM m), 6) AS multiplier FROM m""")
 def firm_noise(spark: SparkSession, folder: str) -> DataFrame:
     """Noise multipliers of firms: chi-square ratio, shrunk to 1, within 0.5 and 2.5, with a mean of 1."""
-    res = _residuals(spark, folder).where("week_n > 1")
+    res = checkpoint(_residuals(spark, folder).where("week_n > 1").select("firm", "party_code", "r"))
     v = res.groupBy("party_code").agg(F.avg(F.col("r") * F.col("r")).alias("v")).where("v > 0")
     f = res.join(v, "party_code").groupBy("firm").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("r") * F.col("r") / F.col("v")).alias("ratio"))
     m = f.withColumn("m", F.greatest(F.lit(0.5), F.least(F.lit(2.5), F.sqrt((F.col("n") * F.col("ratio") + SHRINK) / (F.col("n") + SHRINK)))))
-    mean = m.agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mean")).first()["mean"]
-    return m.select("firm", "n", F.round(F.col("m") / F.lit(mean), 6).alias("multiplier"))
+    m = checkpoint(m)  # a row per firm, read twice
+    mean = m.agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mean")).scalar()
+    return m.select("firm", "n", F.round(F.col("m") / mean, 6).alias("multiplier"))
 
 
 @query(f"""WITH {t.COORD_SQL}, {t.POLL_SQL}, o AS (SELECT firm, z1, z2, z3, z4, z5 FROM coord JOIN poll USING (poll_id)),
@@ -228,8 +229,10 @@ def firm_noise(spark: SparkSession, folder: str) -> DataFrame:
 def debiased_coords(spark: SparkSession, folder: str) -> DataFrame:
     """Half of each firm's mean departure taken off its polls, in coordinates."""
     o = t.coordinates(spark, folder).join(t.polls(spark, folder).select("poll_id", "firm"), "poll_id")
-    mean = o.agg(*[F.avg(c).alias(c) for c in t.COORDS]).first()
-    bias = o.groupBy("firm").agg(*[(F.avg(c) - F.lit(mean[c])).alias(f"b_{c}") for c in t.COORDS])
+    o = checkpoint(o)
+    firms = o.groupBy("firm").agg(*[F.avg(c).alias(f"m_{c}") for c in t.COORDS], *[F.sum(c).alias(f"s_{c}") for c in t.COORDS], F.count(F.lit(1)).alias("n"))
+    everyone = Window.partitionBy(F.lit(0))  # over one row per firm
+    bias = firms.select("firm", *[(F.col(f"m_{c}") - F.sum(f"s_{c}").over(everyone) / F.sum("n").over(everyone)).alias(f"b_{c}") for c in t.COORDS])
     return o.join(bias, "firm").select("poll_id", *[F.round(F.col(c) - 0.5 * F.col(f"b_{c}"), 6).alias(c) for c in t.COORDS])
 
 
@@ -252,7 +255,7 @@ _SCORE_SQL = f"WITH {_WEEK_RES}, s AS (SELECT party_code, stddev_samp(r) AS sd F
 
 
 def _scored(spark: SparkSession, folder: str) -> DataFrame:
-    res = _residuals(spark, folder).where("week_n > 1")
+    res = checkpoint(_residuals(spark, folder).where("week_n > 1").select("party_code", "r"))
     sd = res.groupBy("party_code").agg(F.stddev_samp("r").alias("sd")).where("sd > 0")
     return res.join(sd, "party_code").withColumn("z", F.col("r") / F.col("sd"))
 
@@ -310,10 +313,10 @@ def corr_matrix(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"WITH {t.COORD_SQL}, s AS (SELECT {', '.join(f'avg({c}) AS m_{c}, stddev_samp({c}) AS s_{c}' for c in t.COORDS)} FROM coord) SELECT poll_id, {', '.join(f'round(({c} - m_{c}) / CASE WHEN s_{c} = 0 THEN 1 ELSE s_{c} END, 6) AS {c}' for c in t.COORDS)} FROM coord, s")
 def standardised_coords(spark: SparkSession, folder: str) -> DataFrame:
-    z = t.coordinates(spark, folder)
-    moments = z.agg(*[F.avg(c).alias(f"m_{c}") for c in t.COORDS], *[F.stddev_samp(c).alias(f"s_{c}") for c in t.COORDS]).first()
-    scale = lambda c: moments[f"s_{c}"] or 1.0
-    return z.select("poll_id", *[F.round((F.col(c) - F.lit(moments[f"m_{c}"])) / F.lit(scale(c)), 6).alias(c) for c in t.COORDS])
+    z = checkpoint(t.coordinates(spark, folder))
+    moments = z.agg(F.struct(*[F.avg(c).alias(f"m_{c}") for c in t.COORDS], *[F.stddev_samp(c).alias(f"s_{c}") for c in t.COORDS]).alias("m")).scalar()
+    scale = lambda c: F.coalesce(F.nullif(moments[f"s_{c}"], F.lit(0.0)), F.lit(1.0))
+    return z.select("poll_id", *[F.round((F.col(c) - moments[f"m_{c}"]) / scale(c), 6).alias(c) for c in t.COORDS])
 
 
 @query(f"""WITH {t.POLL_SQL}, {t.CELL_SQL} SELECT poll_date AS date, party_code, round(avg(x), 9) AS share, count(*) AS n FROM cell JOIN poll USING (poll_id)
@@ -402,8 +405,8 @@ def fold_ids(spark: SparkSession, folder: str) -> DataFrame:
 def bias_injection(spark: SparkSession, folder: str) -> DataFrame:
     """Two points added to one part for the busiest firm, the other parts shrunk to make room: a synthetic bias with a known answer."""
     p = t.polls(spark, folder)
-    busiest = p.groupBy("firm").count().orderBy(F.col("count").desc(), "firm").first()
-    biased = F.when(F.col("firm") == F.lit(busiest["firm"] if busiest else None), F.col("alb") + 0.02).otherwise(F.col("alb"))
+    busiest = p.groupBy("firm").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "firm").limit(1).select("firm").scalar()
+    biased = F.when(F.col("firm") == busiest, F.col("alb") + 0.02).otherwise(F.col("alb"))
     joined = t.wide(spark, folder).join(p.select("poll_id", "firm"), "poll_id").where("alb < 0.9").withColumn("alb2", biased)
     room = (1 - F.col("alb2")) / (1 - F.col("alb"))
     return joined.select("poll_id", F.round("alb2", 9).alias("alb"), *[F.round(F.col(c) * room, 9).alias(c) for c in t.PARTS[1:]])
@@ -415,10 +418,11 @@ def bias_injection(spark: SparkSession, folder: str) -> DataFrame:
   SELECT poll_id, {', '.join(f"round({p} / ({' + '.join(t.PARTS)}), 9) AS {p}" for p in t.PARTS)} FROM f""")
 def part_reweighting(spark: SparkSession, folder: str) -> DataFrame:
     """Every part times a factor of its firm, closed again, as turnout factors are applied: half the mean log gap to all firms."""
-    c = t.compositions(spark, folder).join(t.polls(spark, folder).select("poll_id", "firm"), "poll_id")
-    everyone = c.agg(*[F.avg(F.log(p)).alias(p) for p in t.PARTS]).first()
+    every = t.compositions(spark, folder)
+    c = checkpoint(every.join(t.polls(spark, folder).select("poll_id", "firm"), "poll_id"))
+    everyone = every.agg(F.struct(*[F.avg(F.log(p)).alias(p) for p in t.PARTS]).alias("m")).scalar()
     own = c.groupBy("firm").agg(*[F.avg(F.log(p)).alias(f"l_{p}") for p in t.PARTS])
-    moved = c.join(own, "firm").select("poll_id", *[(F.col(p) * F.exp(0.5 * (F.lit(everyone[p]) - F.col(f"l_{p}")))).alias(p) for p in t.PARTS])
+    moved = c.join(own, "firm").select("poll_id", *[(F.col(p) * F.exp(0.5 * (everyone[p] - F.col(f"l_{p}")))).alias(p) for p in t.PARTS])
     return moved.select("poll_id", *t.named(comp.closure(t.columns(t.PARTS)), t.PARTS, 9))
 
 
