@@ -7,6 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyforge.functions.text import FRENCH_MONTHS, collapse_spaces
+from tallyforge.plans import tables as t
 from tallyforge.plans.registry import Catalogue
 from tallyforge.session import new_folder, read_table
 from tallyforge.sources import pages
@@ -28,6 +30,43 @@ def stream_watch(spark: SparkSession, folder: str) -> DataFrame:
     return watch.watch(_stream(spark, folder, "page_snapshots"), new_folder(spark)).select("title", "revid")
 
 
+@query("""WITH l AS (SELECT title, max(revid) AS revid FROM page_snapshots WHERE title IS NOT NULL GROUP BY 1)
+  SELECT title, poll_id, party_code, round(min(pct_reported), 6) AS pct FROM snapshot_shares JOIN l USING (title, revid) WHERE poll_id IS NOT NULL AND party_code IS NOT NULL GROUP BY 1, 2, 3""")
+def stream_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """The tables of all pages after their revisions have come in four batches by time of fetching, only differences written, guards overridden since the tables come dirty."""
+    parts = new_folder(spark)
+    page = read_table(spark, folder, "page_snapshots").select("title", "revid", "fetched_at")
+    page.repartitionByRange(4, "fetched_at").write.parquet(parts)
+    stream = spark.readStream.schema(page.schema).option("maxFilesPerTrigger", 1).parquet(parts)
+    rows = watch.watch_tables(stream, read_table(spark, folder, "snapshot_shares"), new_folder(spark), force=True)
+    return rows.select("title", "poll_id", "party_code", F.round("pct", 6).alias("pct"))
+
+
+_FIRM = "trim(regexp_replace(regexp_replace(firm, '\\[[^\\]]*\\]|\\*', '', 'g'), '[\\s\\x{00a0}\\x{2009}\\x{202f}]+', ' ', 'g'))"
+
+
+@query(f"""WITH l AS (SELECT title, max(revid) AS revid FROM page_snapshots WHERE title IS NOT NULL GROUP BY 1),
+  r AS (SELECT title, poll_id, min({_FIRM}) AS firm, party_code, min(pct_reported) AS pct FROM snapshot_shares JOIN l USING (title, revid) WHERE poll_id IS NOT NULL AND party_code IS NOT NULL GROUP BY 1, 2, 4),
+  d AS (SELECT poll_id, min(poll_date) AS poll_date FROM polls GROUP BY 1),
+  w AS (SELECT title, poll_id, min(r.firm) AS firm, min(poll_date) AS poll_date FROM r JOIN d USING (poll_id) WHERE poll_date IS NOT NULL GROUP BY 1, 2 HAVING count(pct) FILTER (party_code IN ('ALB','LPN','MVT','PRN','UCD','AUTRES')) >= 2 AND min(r.firm) <> '')
+  SELECT title, w.firm, w.poll_date, party_code, pct FROM w JOIN r USING (title, poll_id) WHERE pct IS NOT NULL AND party_code IN ('ALB','LPN','MVT','PRN','UCD','AUTRES')""")
+def page_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """Polls read from tables: every page's newest table, rendered as HTML, parsed again with its headings, French dates and decimal commas."""
+    newest = read_table(spark, folder, "page_snapshots").where("title IS NOT NULL").groupBy("title").agg(F.max("revid").alias("revid"))
+    rows = read_table(spark, folder, "snapshot_shares").where("poll_id IS NOT NULL AND party_code IS NOT NULL").join(newest, ["title", "revid"])
+    dates = read_table(spark, folder, "polls").groupBy("poll_id").agg(F.min("poll_date").alias("poll_date"))
+    share = lambda p: F.coalesce(F.replace(F.min(F.when(F.col("party_code") == p, F.col("pct_reported"))).cast("string"), F.lit("."), F.lit(",")), F.lit("–"))
+    wide = rows.groupBy("title", "revid", "poll_id").agg(F.min(collapse_spaces(F.col("firm"))).alias("firm"), *[share(p).alias(p) for p in t.PARTIES]).join(dates.where("poll_date IS NOT NULL"), "poll_id")
+    month = F.element_at(F.array(*[F.lit(m) for m in FRENCH_MONTHS]), F.month("poll_date"))
+    day = F.concat_ws("&nbsp;", F.dayofmonth("poll_date").cast("string"), month, F.year("poll_date").cast("string"))
+    escaped = F.replace(F.replace(F.col("firm"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    line = F.concat(F.lit("<tr><td>"), F.concat_ws("</td><td>", day, F.coalesce(escaped, F.lit("")), *[F.col(p) for p in t.PARTIES]), F.lit("</td></tr>"))
+    head = "<h2>Sondages</h2><table><tr><th>Date</th><th>Firme</th>" + "".join(f"<th>{p}</th>" for p in t.PARTIES) + "</tr>"
+    html = wide.groupBy("title", "revid").agg(F.concat(F.lit(head), F.array_join(F.collect_list(line), ""), F.lit("</table>")).alias("html"))  # one page's table
+    found = pages.poll_tables(pages.blocks(html), t.PARTIES, ["region"])
+    return found.select("title", "firm", "poll_date", F.explode("shares").alias("party_code", "pct"))
+
+
 @query("""WITH e AS (SELECT poll_id, scraped_at AS a, date_trunc('week', poll_date) AS m, sample_size AS s,
       row_number() OVER (PARTITION BY poll_id ORDER BY scraped_at, poll_date, sample_size NULLS FIRST) AS k, CAST(scraped_at AS DATE) - CAST(date_trunc('week', poll_date) AS DATE) AS age, poll_date AS d
     FROM polls WHERE poll_id IS NOT NULL AND poll_date IS NOT NULL AND scraped_at IS NOT NULL),

@@ -240,10 +240,52 @@ def test_watch_keeps_the_newest_and_guards_stop_before_writing(spark, tmp_path):
     assert rows == {"a": (3, 1), "b": (5, 1)}
     put([("a", 9, at, None)])
     with pytest.raises(Exception, match="pages are empty"):
-        watch.watch(stream(), state, max_null_html=0.5)
+        watch.watch(stream(), state, max_blank=0.5)
     assert watch.latest_version(spark, state + "/pages") == 2
 
 
+def test_table_watch_has_two_gates_scoped_removal_and_guards(spark, tmp_path):
+    seen, shares = "title string, revid long", "title string, revid long, poll_id string, party_code string, pct_reported double"
+    poll = lambda t, r, p, a: [(t, r, p, "X", a), (t, r, p, "Y", 100.0 - a)]
+    table = poll("a", 1, "p1", 40.0) + poll("b", 1, "q1", 30.0) + poll("a", 2, "p1", 41.0) + poll("a", 2, "p2", 50.0) + poll("a", 2, "p2", 50.0)
+    table += [x for i in range(8) for x in poll("c", 1, f"r{i}", 45.0)] + poll("c", 2, "r0", 45.0) + [("a", 3, "p1", "X", 41.0), ("a", 3, "p1", "Y", 9.0)]
+    df = spark.createDataFrame(table, shares)
+    state = str(tmp_path / "state")
+    batch = lambda rows, n, **k: watch.process_tables(df, state, **k)(spark.createDataFrame(rows, seen), n)
+    read = lambda: {(r.title, r.poll_id, r.party_code): r.pct for r in watch._latest(watch.read_versions(spark, f"{state}/rows", watch.latest_version(spark, f"{state}/rows"), watch._ROWS), "title", "poll_id", "party_code").where("NOT gone").collect()}
+    batch([("a", 1), ("b", 1), ("c", 1), (None, 1)], 0)
+    assert len(read()) == 20
+    batch([("a", 2), ("a", 1)], 1)
+    rows = read()
+    assert rows["a", "p1", "X"] == 41.0 and len([k for k in rows if k[0] == "a"]) == 4 and ("b", "q1", "X") in rows  # b wasn't read, so it lost nothing
+    for _ in range(2):  # a repeated batch changes nothing
+        batch([("a", 1)], 2)
+        assert read() == rows
+    batch([("c", 2)], 3, dry_run=True)
+    assert read() == rows and spark.read.parquet(f"{state}/plan/version=4").where("change = 'removed'").count() == 14
+    with pytest.raises(watch.GuardViolation, match="c loses polls: 7"):
+        batch([("c", 2)], 3)
+    with pytest.raises(watch.GuardViolation, match="a has a poll with a wrong sum: 50"):
+        batch([("a", 3)], 3)
+    assert read() == rows
+    batch([("c", 2), ("a", 3)], 3, force=True)
+    assert read() == {("b", "q1", "X"): 30.0, ("b", "q1", "Y"): 70.0, ("c", "r0", "X"): 45.0, ("c", "r0", "Y"): 55.0, ("a", "p1", "X"): 41.0, ("a", "p1", "Y"): 9.0}
+
+
+def test_poll_tables_of_pages(spark):
+    head = "<tr><th>Date</th><th>Firme</th><th>Échantillon</th><th>ALB</th><th>PRN</th><th>LPN</th></tr>"
+    row = lambda *cells: "<tr>" + "".join(f"<td>{c}</td>" for c in cells) + "</tr>"
+    good = row("7 mars 2021[1]", "Firme&nbsp;A*", "1&#8239;149", "34,5&nbsp;%", "28[b]", "–")
+    table = f"<table>{head}{good}{row('Débat des chefs')}{row('2021-02-30', 'B', '900', '30', '31', '9')}{row('2021-03-09', 'C', '', '30', '–', '')}{row('2021-03-10', 'D &amp; fils', '', '0', '31', '')}</table>"
+    html = f"<h2>Sondages</h2><h3>Ensemble</h3>{table}<h3>Par région</h3><table>{head}{good}</table><table><tr><th>x</th></tr><tr><td>1</td></tr></table>"
+    df = spark.createDataFrame([("t", 1, html), ("u", 1, f"<h2>Z</h2><table>{head}{good}</table>"), ("v", 1, None)], "title string, revid long, html string")
+    rows = pages.poll_tables(pages.blocks(df), ["ALB", "PRN", "LPN"], ["region"])
+    got = {(r.title, r.firm): (str(r.poll_date), r.sample_size, r.shares) for r in rows.collect()}
+    assert got == {("t", "Firme A"): ("2021-03-07", 1149, {"ALB": 34.5, "PRN": 28.0}), ("u", "Firme A"): ("2021-03-07", 1149, {"ALB": 34.5, "PRN": 28.0}), ("t", "D & fils"): ("2021-03-10", None, {"ALB": 0.0, "PRN": 31.0})}
+    assert sorted((r.title, r.firm) for r in pages.first_seen(rows).collect()) == [("t", "D & fils"), ("t", "Firme A")]
+    assert pages.poll_tables(pages.blocks(df.limit(0)), ["ALB"], []).count() == 0
+
+
 def test_held_out_bins_are_foretold_from_the_others(spark):
     rng = np.random.default_rng(3)
     rows = [("s", int(7 * i), int(i > 6), 0, float(np.sin(i / 3) + rng.normal() / 10), 0.01 + 0.01 * (i % 3)) for i in range(12)]
