@@ -10,14 +10,15 @@ from pyspark.sql.window import Window
 def neighbours(df: DataFrame, key: str, order: str, prev: str, following: str, blocks: int = 256) -> DataFrame:
     """Add the previous and next value of the integral column `order` within `key`; rows are distinct in (key, order).
 
-    The order range is cut into blocks, so that a key with a third of all rows is spread over as
-    many windows; only each block's edges (at most `blocks` rows a key) meet in one window to
+    The values are cut into blocks at about equal ranks, so that a key with a third of all rows is spread over as
+    many windows, wherever its values lie; only each block's edges (at most `blocks` rows a key) meet in one window to
     bridge the cuts. Rows with a null key or order are dropped. An empty input gives an empty result.
     """
     df = df.where(F.col(key).isNotNull() & F.col(order).isNotNull())
-    low, high = df.agg(F.min(order), F.max(order)).first()
-    low, width = low or 0, ((high or 0) - (low or 0)) // blocks + 1
-    cut = df.withColumn("_block", F.floor((F.col(order) - F.lit(low)) / F.lit(width)))
+    ranks = [k / blocks for k in range(1, blocks)]
+    cuts = df.agg(F.percentile_approx(order, ranks, 20 * blocks).alias("cuts")).first().cuts if ranks else []  # fewer than `blocks` values
+    marks = F.array(*[F.lit(c) for c in sorted(set(cuts or []))])
+    cut = df.withColumn("_block", F.size(F.filter(marks, lambda c: c <= F.col(order))))
     edges = cut.groupBy(key, "_block").agg(F.min(order).alias("_first"), F.max(order).alias("_last"))
     across = Window.partitionBy(key).orderBy("_block")
     edges = edges.select(key, "_block", F.lag("_last").over(across).alias("_before"), F.lead("_first").over(across).alias("_after"))

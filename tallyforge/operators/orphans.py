@@ -66,16 +66,14 @@ def _covered(days: DataFrame, listings: DataFrame, how: str) -> DataFrame:
     return a.join(b, on, how)
 
 
-def split_heavy(refs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """References pre-aggregated per key and day, and the fewer than HEAVY_PARTS keys above their share of all rows."""
-    usage = refs.groupBy(*KEY, "day").agg(F.count(F.lit(1)).alias("n"))
-    total = usage.agg(F.sum("n")).first()[0] or 0
-    heavy = usage.groupBy(*KEY).agg(F.sum("n").alias("n")).where(F.col("n") * HEAVY_PARTS > F.lit(total)).select(*KEY)
-    return usage, heavy
+def heavy_keys(usage: DataFrame) -> DataFrame:
+    """The fewer than HEAVY_PARTS keys above their share of all references, from the counts per key."""
+    total = usage.agg(F.sum("n")).scalar()
+    return usage.groupBy(*KEY).agg(F.sum("n").alias("n")).where(F.col("n") * HEAVY_PARTS > total).select(*KEY)
 
 
 def orphan_days(usage: DataFrame, heavy: DataFrame, listings: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Key and days without a valid listing: those of heavy keys by a broadcast check, the rest by a shuffled anti join."""
+    """Counts of keys and days without a valid listing: those of heavy keys by a broadcast check, the rest by a shuffled anti join."""
     heavy = F.broadcast(heavy)  # fewer than HEAVY_PARTS rows by construction
     heavy_listings = broadcast_if_small(listings.join(heavy, KEY, "left_semi"), BROADCAST_ROWS)
     hot = _covered(usage.join(heavy, KEY, "left_semi"), heavy_listings, "left_anti")
@@ -86,30 +84,28 @@ def orphan_days(usage: DataFrame, heavy: DataFrame, listings: DataFrame) -> tupl
 def orphan_rows(refs: DataFrame, listings: DataFrame) -> DataFrame:
     """Every reference without a listing valid on its day: (table_name, period, row_id); period is null for a null day.
 
-    Duplicates each come out. Empty references or listings work: with no listing every reference is an orphan.
+    The keys and days that the counts show as orphans go back to their rows, those of heavy keys by broadcast. References are read
+    twice and never written. Duplicates each come out. Empty references or listings work: with no listing every reference is an orphan.
     """
-    refs, listings = checkpoint(refs), checkpoint(listings)  # read several times below; this keeps the plans small
-    usage, heavy = split_heavy(refs)
-    usage, heavy = checkpoint(usage), checkpoint(heavy)
-    hot, cold = orphan_days(usage, heavy, listings)
+    usage = checkpoint(refs.groupBy(*KEY, "day").agg(F.count(F.lit(1)).alias("n")))
+    heavy = checkpoint(heavy_keys(usage))
+    hot, cold = (part.select(*KEY, "day") for part in orphan_days(usage, heavy, listings))
     heavy = F.broadcast(heavy)
 
     def rows(part: DataFrame, days: DataFrame) -> DataFrame:
-        a, b = part.alias("a"), days.select(*KEY, "day").alias("b")
+        a, b = part.alias("a"), days.alias("b")
         on = (F.col("a.scope") == F.col("b.scope")) & (F.col("a.ref_key") == F.col("b.ref_key")) & F.col("a.day").eqNullSafe(F.col("b.day"))
         return a.join(b, on, "left_semi")
 
-    found = rows(refs.join(heavy, KEY, "left_semi"), broadcast_if_small(hot, BROADCAST_ROWS)).unionByName(
-        rows(refs.join(heavy, KEY, "left_anti"), cold)
-    )
+    hot = broadcast_if_small(checkpoint(hot), BROADCAST_ROWS)
+    found = rows(refs.join(heavy, KEY, "left_semi"), hot).unionByName(rows(refs.join(heavy, KEY, "left_anti"), cold))
     return found.select("table_name", F.date_format("day", "yyyy-MM").alias("period"), "row_id")
 
 
 def orphan_counts(refs: DataFrame, listings: DataFrame) -> DataFrame:
-    """Orphan references per table and month, from the pre-aggregated days alone: (table_name, period, n_rows, n_keys)."""
-    usage = refs.groupBy("table_name", *KEY, "day").agg(F.count(F.lit(1)).alias("n"))
-    _, heavy = split_heavy(refs)
-    hot, cold = orphan_days(usage, heavy, listings)
+    """Orphan references per table and month, from the pre-aggregated days alone: (table_name, period, n_rows, n_keys). References are read once."""
+    usage = checkpoint(refs.groupBy("table_name", *KEY, "day").agg(F.count(F.lit(1)).alias("n")))
+    hot, cold = orphan_days(usage, checkpoint(heavy_keys(usage)), listings)
     return (
         hot.unionByName(cold)
         .groupBy("table_name", F.date_format("day", "yyyy-MM").alias("period"), *KEY).agg(F.sum("n").alias("n"))

@@ -82,3 +82,10 @@ def html_extract(spark: SparkSession, folder: str) -> DataFrame:
     found = pages.blocks(read_table(spark, folder, "page_snapshots")).where("tag = 'p'")
     stated = F.regexp_extract("text", r"([0-9]+) sondage", 1).try_cast("long")
     return found.groupBy("title", "revid", "section", stated.alias("n_stated")).agg(F.count(F.lit(1)).alias("n_rows")).where("n_stated IS NOT NULL")
+
+
+@query("""WITH b AS (SELECT title, revid, regexp_extract(html, '<h2>([^<]*)</h2>', 1) AS section, regexp_extract_all(html, '<p>(.*?)</p>', 1, 's') AS ps FROM page_snapshots WHERE html IS NOT NULL)
+  SELECT title, revid, CAST(i - 1 AS INTEGER) AS pos, section, 'p' AS tag, trim(regexp_replace(replace(ps[i], '&nbsp;', ' '), '\\s+', ' ', 'g')) AS text FROM b, unnest(range(1, len(ps) + 1)) AS r(i)""")
+def html_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """Every block of every revision with the headings above it."""
+    return pages.blocks(read_table(spark, folder, "page_snapshots")).select("title", "revid", "pos", "section", "tag", "text")
