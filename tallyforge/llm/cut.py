@@ -137,6 +137,12 @@ def hashes(places: np.ndarray, n: int, sums: np.ndarray, down: np.ndarray) -> np
         return (h ^ (h >> np.uint64(29))) & ~np.uint64(1)
 
 
+#: What a character that follows a place says of it: an end (stops and blank lines), more text, or neither (line breaks, markup, closing marks).
+_FOLLOWS = np.full(1 << 14, -1, np.int8)
+_FOLLOWS[[3, *map(ord, _STOPS)]] = 1
+_FOLLOWS[[4, *map(ord, '<[")»')]] = 0
+
+
 def lay_out(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Texts, simplified and end to end: characters, what follows each (1 an end, -1 more text, 0 neither), place in its text, last places, and the sums and powers for hashes."""
     codes = simplify("".join("\u0002" + t.replace("\u0002", " ") for t in texts))
@@ -145,9 +151,7 @@ def lay_out(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     ends = starts + lengths - 1
     following = np.zeros(len(codes), np.uint32)
     following[:-1] = codes[1:]
-    stops = np.isin(following, np.array([ord(c) for c in _STOPS] + [3], np.uint32))
-    unclear = np.isin(following, np.array([4, *map(ord, '<[")»')], np.uint32))
-    what = np.where(stops, 1, np.where(unclear, 0, -1)).astype(np.int8)
+    what = _FOLLOWS[np.minimum(following, len(_FOLLOWS) - 1)]
     what[ends] = 1
     place = np.arange(len(codes), dtype=np.int32) - np.repeat(starts, lengths).astype(np.int32)
     codes[codes == 4] = 32
@@ -229,12 +233,15 @@ def count_contexts(docs: DataFrame, bits: np.ndarray) -> DataFrame:
             for k in range(0, len(pdf), BATCH):
                 for n, h in matching(pdf.text.iloc[k : k + BATCH], shared.value):
                     seen[n].append(h)
+            out = []
             for parts in seen.values():
                 if parts:
                     h = np.sort(np.concatenate(parts))
                     first = np.flatnonzero(np.concatenate([[True], h[1:] >> np.uint64(1) != h[:-1] >> np.uint64(1)]))
                     n_end = np.add.reduceat((h & np.uint64(1)).astype(np.int64), first)
-                    yield pd.DataFrame({"ctx": (h[first] & ~np.uint64(1)).view(np.int64), "n_end": n_end, "n_more": np.diff(np.append(first, len(h))) - n_end})
+                    out.append(((h[first] & ~np.uint64(1)).view(np.int64), n_end, np.diff(np.append(first, len(h))) - n_end))
+            if out:
+                yield pd.DataFrame(dict(zip(("ctx", "n_end", "n_more"), map(np.concatenate, zip(*out)))))
 
     counts = docs.where(F.length("text") > 0).select("text").mapInPandas(count, "ctx long, n_end long, n_more long")
     return counts.groupBy("ctx").agg(F.sum("n_end").alias("n_end"), F.sum("n_more").alias("n_more"))
@@ -265,6 +272,7 @@ def score(docs: DataFrame, column: str = "text") -> DataFrame:
     docs = docs.withColumn("text", F.col(column)) if column != "text" else docs
     texts = checkpoint(final_contexts(docs)).withColumn("row", F.monotonically_increasing_id())
     counts = count_contexts(docs, context_filter(texts))
+    counts = counts.where(F.col("n_end") + F.col("n_more") >= MIN_SEEN)  # the rest decides nothing
     n_end = F.greatest(F.col("n_end") - F.col("own").cast("int"), F.lit(0))
     known = (
         texts.select("row", "own", F.posexplode("ctx").alias("order", "ctx")).join(counts, "ctx").where(n_end + F.col("n_more") >= MIN_SEEN)
