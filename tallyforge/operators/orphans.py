@@ -84,9 +84,10 @@ def orphan_days(usage: DataFrame, heavy: DataFrame, listings: DataFrame) -> tupl
 def orphan_rows(refs: DataFrame, listings: DataFrame) -> DataFrame:
     """Every reference without a listing valid on its day: (table_name, period, row_id); period is null for a null day.
 
-    The keys and days that the counts show as orphans go back to their rows, those of heavy keys by broadcast. References are read
-    twice and never written. Duplicates each come out. Empty references or listings work: with no listing every reference is an orphan.
+    The keys and days that the counts show as orphans go back to their rows, those of heavy keys by broadcast. References are worked
+    out once and written, which costs less than to work out their keys three times. Duplicates each come out. Empty references or listings work: with no listing every reference is an orphan.
     """
+    refs, listings = checkpoint(refs), checkpoint(listings)
     usage = checkpoint(refs.groupBy(*KEY, "day").agg(F.count(F.lit(1)).alias("n")))
     heavy = checkpoint(heavy_keys(usage))
     hot, cold = (part.select(*KEY, "day") for part in orphan_days(usage, heavy, listings))
