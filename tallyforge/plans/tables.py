@@ -24,17 +24,19 @@ def polls(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def cells(spark: SparkSession, folder: str) -> DataFrame:
-    """One share per poll and party, the last delivered; values outside 0 to 100 are no measurement."""
+    """One share per poll and party, the last delivered (of several in one load the largest); values outside 0 to 100 are no measurement.
+
+    Two aggregates over fixed-width values: first per load, with a combine before the shuffle, then the latest load.
+    """
     valid = read_table(spark, folder, "poll_shares").where("pct_reported BETWEEN 0 AND 100")
-    last = valid.groupBy("poll_id", "party_code").agg(F.max(F.struct("load_id", "feed", "pct_reported")).alias("e"))
-    return last.select("poll_id", "party_code", (F.col("e.pct_reported") / 100).alias("x"))
+    loads = valid.groupBy("poll_id", "party_code", F.coalesce("load_id", F.lit(-1)).alias("load_id")).agg(F.max("pct_reported").alias("pct"))
+    return loads.groupBy("poll_id", "party_code").agg((F.max_by("pct", "load_id") / 100).alias("x"))
 
 
 def wide(spark: SparkSession, folder: str) -> DataFrame:
-    """Parts of each poll side by side, null where unmeasured: one aggregation, no pivot pass for the values."""
-    valid = read_table(spark, folder, "poll_shares").where("pct_reported BETWEEN 0 AND 100")
-    last = lambda p: F.max(F.when(F.col("party_code") == p, F.struct("load_id", "feed", "pct_reported")))["pct_reported"] / 100
-    return valid.groupBy("poll_id").agg(*[last(p).alias(p.lower()) for p in PARTIES]).where(F.coalesce(*PARTS).isNotNull())
+    """Parts of each poll side by side, null where unmeasured: one aggregation of the cells, no pivot pass for the values."""
+    part = lambda p: F.max(F.when(F.col("party_code") == p, F.col("x")))
+    return cells(spark, folder).groupBy("poll_id").agg(*[part(p).alias(p.lower()) for p in PARTIES]).where(F.coalesce(*PARTS).isNotNull())
 
 
 def columns(names: list[str]) -> list[Column]:
