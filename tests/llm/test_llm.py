@@ -124,6 +124,19 @@ def test_stock_words_verbatim_and_through_long_markup_are_found(spark):
     assert found_pairs(spark, texts, spark.createDataFrame(items, "item_id long, text string")) == {(k, 0) for k in range(4)}
 
 
+def test_long_passages_of_stock_words_are_leaks(spark):
+    stock = "avant que la salle ouvre le greffier compte deux fois chaque feuille puis ferme la porte et range son livre dans une grande boite sous le banc".split()
+    items = [(i, random.Random(i).sample(stock, len(stock))) for i in range(6)]  # every word stands in all items
+    table = spark.createDataFrame([(i, " ".join(words)) for i, words in items], "item_id long, text string")
+    own = items[0][1]
+    texts = [[*own[:16]], [*own[:8], "autre", *own[9:16]], [*own[:8], "bon", *own[8:16]], own[:9], [*own[:7], "bon", "non", "si", *own[7:11]], random.Random(9).sample(stock, 20)]
+    block = leak.Items(items)
+    numbered = [np.array([[block.number.get(w, -1)] for w in t], np.int32) for t in texts[:5]]
+    assert leak.align(numbered, [block.words[0]] * 5)[2].tolist() == [16, 15, 16, 9, 7]
+    docs = spark.createDataFrame([(i, "fin. " + " ".join(t) + " zut") for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in leak.leaks(docs, table).collect()} == {(0, 0), (1, 0), (2, 0)}
+
+
 def test_alignment_agrees_with_the_recurrence():
     rng = np.random.default_rng(3)
     for _ in range(60):
