@@ -1,7 +1,6 @@
 """Queries do the whole job: as many draws, cells, words and elections as their operators ask for."""
 
 import os
-import random
 
 import numpy as np
 import pytest
@@ -53,20 +52,6 @@ def test_held_out_cells_are_chosen_from_the_grid_by_the_training_bins(spark):
     assert gp.held_out(tasks, ["s"], spark.createDataFrame(cells)).count() == 36
 
 
-def test_long_passages_of_stock_words_are_leaks(spark):
-    leak = pytest.importorskip("tallyforge.llm.leak")
-    stock = "avant que la salle ouvre le greffier compte deux fois chaque feuille puis ferme la porte et range son livre dans une grande boite sous le banc".split()
-    items = [(i, random.Random(i).sample(stock, len(stock))) for i in range(6)]  # every word stands in all items
-    table = spark.createDataFrame([(i, " ".join(words)) for i, words in items], "item_id long, text string")
-    own = items[0][1]
-    texts = [[*own[:16]], [*own[:8], "autre", *own[9:16]], [*own[:8], "bon", *own[8:16]], own[:9], [*own[:7], "bon", "non", "si", *own[7:11]], random.Random(9).sample(stock, 20)]
-    search = leak.Items([(i, " ".join(words)) for i, words in items])
-    assert not any(search.aligned(0, t)[2] for t in texts)
-    assert [search.stretch(0, t) for t in texts[:5]] == [16, 15, 16, 9, 7]
-    docs = spark.createDataFrame([(i, "fin. " + " ".join(t) + " zut") for i, t in enumerate(texts)], "doc_id long, text string")
-    assert {(r.doc_id, r.item_id) for r in leak.leaks(docs, table).collect()} == {(0, 0), (1, 0), (2, 0)}
-
-
 @needs_tables
 def test_final_polls_of_every_election_are_scored(spark):
     found = {r.election for r in evaluation.final_poll_errors(spark, DATA.replace("sf0.001", "sf0.1")).collect()}
