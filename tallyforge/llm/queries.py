@@ -25,6 +25,11 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode.encode(read_table(spark, folder, "documents"))
 
 
+def p7_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text from its ids: the round trip through the vocabulary."""
+    return encode.decode(p7_ids(spark, folder))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return leak.leaks(read_table(spark, folder, "documents"), read_table(spark, folder, "eval_items")).select("doc_id", "item_id")
 
@@ -41,5 +46,5 @@ def p9_rates(spark: SparkSession, folder: str) -> DataFrame:
     return cut.cut_rates(read_table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_firms, p7_ids, p8_found, p8_items, p9_found, p9_rates)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p4_found, p4_firms, p7_ids, p7_text, p8_found, p8_items, p9_found, p9_rates)}
+ORACLE = {"p7_text": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
