@@ -1,21 +1,9 @@
-"""Order statistics and scores with the tie and rank rules of the operators that use them."""
+"""Choices and scores with the tie rules of the operators that use them."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.window import WindowSpec
-
-
-def is_floor_quantile(p: float, group: WindowSpec, order: WindowSpec) -> Column:
-    """Whether a row holds the element floor(p / 100 * (n - 1)) (from 0) of its sorted group, which no built-in percentile picks."""
-    n = F.count(F.lit(1)).over(group)
-    return F.row_number().over(order) - 1 == F.floor(F.lit(p / 100) * (n - 1))
-
-
-def is_upper_median(group: WindowSpec, order: WindowSpec) -> Column:
-    """Whether a row holds the element floor(n / 2) (from 0) of its sorted group."""
-    return F.row_number().over(order) - 1 == F.floor(F.count(F.lit(1)).over(group) / 2)
 
 
 def first_argmax(label: Column, value: Column, position: Column) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,26 +16,24 @@ CATALOGUE = Catalogue()
 query = CATALOGUE.query
 
 
-def _stream(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    """A table as a stream of its files, one file per batch."""
-    reader = spark.readStream.schema(read_table(spark, folder, table).schema).option("maxFilesPerTrigger", 1)
-    path = f"{folder}/{table}.parquet"
-    return reader.parquet(path) if os.path.isdir(path) else reader.option("pathGlobFilter", f"{table}.parquet").parquet(folder)
+def _batches(df: DataFrame, order: str, batches: int = 4) -> DataFrame:
+    """A table as a stream of so many batches, cut by a column."""
+    path = new_folder(df.sparkSession)
+    df.repartitionByRange(batches, order).write.parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 @query("SELECT title, max(revid) AS revid FROM page_snapshots WHERE title IS NOT NULL GROUP BY title")
 def stream_watch(spark: SparkSession, folder: str) -> DataFrame:
-    return watch.watch(_stream(spark, folder, "page_snapshots"), new_folder(spark)).select("title", "revid")
+    """The newest revision of each page after all have come in four batches by time of fetching, which is not the order of revisions."""
+    return watch.watch(_batches(read_table(spark, folder, "page_snapshots"), "fetched_at"), new_folder(spark)).select("title", "revid")
 
 
 @query("""WITH l AS (SELECT title, max(revid) AS revid FROM page_snapshots WHERE title IS NOT NULL GROUP BY 1)
   SELECT title, poll_id, party_code, round(min(pct_reported), 6) AS pct FROM snapshot_shares JOIN l USING (title, revid) WHERE poll_id IS NOT NULL AND party_code IS NOT NULL GROUP BY 1, 2, 3""")
 def stream_tables(spark: SparkSession, folder: str) -> DataFrame:
     """The tables of all pages after their revisions have come in four batches by time of fetching, only differences written, guards overridden since the tables come dirty."""
-    parts = new_folder(spark)
-    page = read_table(spark, folder, "page_snapshots").select("title", "revid", "fetched_at")
-    page.repartitionByRange(4, "fetched_at").write.parquet(parts)
-    stream = spark.readStream.schema(page.schema).option("maxFilesPerTrigger", 1).parquet(parts)
+    stream = _batches(read_table(spark, folder, "page_snapshots").select("title", "revid", "fetched_at"), "fetched_at")
     rows = watch.watch_tables(stream, read_table(spark, folder, "snapshot_shares"), new_folder(spark), force=True)
     return rows.select("title", "poll_id", "party_code", F.round("pct", 6).alias("pct"))
 
@@ -73,7 +69,9 @@ def page_tables(spark: SparkSession, folder: str) -> DataFrame:
   taken AS (SELECT m, s FROM e WHERE age < 49 AND poll_id IN (SELECT poll_id FROM e WHERE k = 1 AND age < 49) QUALIFY row_number() OVER (PARTITION BY poll_id ORDER BY k DESC) = 1)
   SELECT CAST(m AS DATE) AS period_start, count(*) AS n_polls, CAST(coalesce(sum(s), 0) AS BIGINT) AS sample_sum FROM taken GROUP BY 1""")
 def stream_weekly(spark: SparkSession, folder: str) -> DataFrame:
-    return late.weekly(_stream(spark, folder, "polls"), new_folder(spark)).where("n_polls > 0").select("period_start", "n_polls", "sample_sum")
+    """Weekly figures after all polls have come in four batches by load: polls delivered again and late ones take old parts back."""
+    polls = read_table(spark, folder, "polls").select("poll_id", "poll_date", "scraped_at", "sample_size", "load_id")
+    return late.weekly(_batches(polls, "load_id"), new_folder(spark)).where("n_polls > 0").select("period_start", "n_polls", "sample_sum")
 
 
 @query("""SELECT title, revid, regexp_extract(html, '<h2>([^<]*)</h2>', 1) AS section, try_cast(regexp_extract(html, '([0-9]+) sondage', 1) AS BIGINT) AS n_stated, count(*) AS n_rows FROM page_snapshots WHERE html IS NOT NULL AND html LIKE '%sondage%</p>%' GROUP BY ALL""")

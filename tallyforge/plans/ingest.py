@@ -382,3 +382,26 @@ def basis_invariance(spark: SparkSession, folder: str) -> DataFrame:
     for x, y in zip(back, other):
         agree = agree & (F.abs(x - y) < 1e-9)
     return mean.select("firm", *t.named(back, t.PARTS, 9), agree.alias("agree"))
+
+
+_AS_OF = "2014-04-07"
+
+
+@query(f"""WITH {t.POLL_SQL} SELECT region_code, poll_id, poll_date FROM poll WHERE poll_date <= DATE '{_AS_OF}' QUALIFY row_number() OVER (PARTITION BY region_code ORDER BY poll_date DESC, poll_id) = 1""")
+def latest_by_region(spark: SparkSession, folder: str) -> DataFrame:
+    """The last poll of each region on or before a day; the rank is limited before the shuffle, so that a busy region stays small."""
+    p = t.polls(spark, folder).select("region_code", "poll_id", "poll_date")
+    return relational.latest_as_of(p, ["region_code"], F.col("poll_date"), F.lit(_AS_OF).cast("date"), [F.col("poll_id")])
+
+
+@query(f"""WITH {t.POLL_SQL} SELECT region_code, poll_id, poll_date FROM poll WHERE poll_date > DATE '{_AS_OF}' QUALIFY dense_rank() OVER (PARTITION BY region_code ORDER BY poll_date) = 1""")
+def next_by_region(spark: SparkSession, folder: str) -> DataFrame:
+    """All polls of each region on its first day after a cut-off, ties included."""
+    p = t.polls(spark, folder).select("region_code", "poll_id", "poll_date")
+    return relational.next_after(p, ["region_code"], F.col("poll_date"), F.lit(_AS_OF).cast("date"))
+
+
+@query(f"WITH {t.COMP_SQL} SELECT poll_id, {', '.join(f'round({p}{" * 1.1e0" if p == t.PARTS[0] else ""} / (1 + 0.1e0 * {t.PARTS[0]}), 9) AS {p}' for p in t.PARTS)} FROM comp")
+def perturbed_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """Compositions with one part a tenth larger, closed again."""
+    return t.compositions(spark, folder).select("poll_id", *t.named(comp.perturbed(t.columns(t.PARTS), 0, 1.1), t.PARTS, 9))
