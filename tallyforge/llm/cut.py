@@ -276,14 +276,14 @@ def score(docs: DataFrame, column: str = "text") -> DataFrame:
     n_end = F.greatest(F.col("n_end") - F.col("own").cast("int"), F.lit(0))
     known = (
         texts.select("row", "own", F.posexplode("ctx").alias("order", "ctx")).join(counts, "ctx").where(n_end + F.col("n_more") >= MIN_SEEN)
-        .groupBy("row").agg(F.max(F.struct("order", F.log((F.col("n_more") + 0.5) / (n_end + 0.5)).alias("ctx_odds"))).alias("told"))
+        .groupBy("row").agg(F.max_by(F.log((F.col("n_more") + 0.5) / (n_end + 0.5)), "order").alias("ctx_odds"))
     )
     limits = field_limits(docs)
     best = texts.join(known, "row", "left")
     for m, slack in (("chars", 0), ("bytes", 3)):  # a limit in bytes leaves up to 3 unused before a long character
         reach = F.explode(F.sequence(F.col("size") - slack, F.col("size"))).alias(m)
         best = best.join(limits.where(F.col("measure") == m).select("source", reach, "limit_odds").groupBy("source", m).agg(F.max("limit_odds").alias(f"{m}_odds")), ["source", m], "left")
-    total = F.col("odds") + F.coalesce("told.ctx_odds", F.lit(0.0)) + F.greatest(F.coalesce("chars_odds", F.lit(0.0)), F.coalesce("bytes_odds", F.lit(0.0)))
+    total = F.col("odds") + F.coalesce("ctx_odds", F.lit(0.0)) + F.greatest(F.coalesce("chars_odds", F.lit(0.0)), F.coalesce("bytes_odds", F.lit(0.0)))
     return best.select("doc_id", "source", "lang", total.alias("odds"), "kind")
 
 
