@@ -22,6 +22,8 @@ query = CATALOGUE.query
 MAPS = ["1992", "2001", "2011", "2017", "2026"]
 OPEN_SEAT_FACTOR, MAX_SHIFT, BLEND = 0.118, 0.35, 0.5
 N_DRAWS = 5000
+#: Queries whose SQL is too slow on whole tables at so many draws; the tests compare them on the smallest ones.
+SLOW_SQL = {"seat_sim_counts", "win_probs", "seat_hist", "medoid_draw", "government_scenarios", "gallagher_index"}
 
 _RID = f"{t.RESULT_SQL}, {t.riding_sql('rid', 'boundary_year, riding')}, {t.riding_sql('prov', 'boundary_year')}"
 _NEXT = "nxt(boundary_year, after_year) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in zip(MAPS, MAPS[1:])) + ")"

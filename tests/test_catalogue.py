@@ -7,13 +7,13 @@ from collections import Counter
 import duckdb
 import pytest
 
-from tallyforge.plans import elections, evaluation, feeds, problems, surveys
+from tallyforge.plans import elections, evaluation, feeds, ingest, problems, surveys
 
 DATA = "/root/testdata/sf0.001"
 # the simulation's summaries share its plan; one of them stands for all here
 SLOW = {"win_probs", "seat_hist", "medoid_draw", "government_scenarios", "gallagher_index"}
-QUERIES = problems.QUERIES | surveys.CATALOGUE.queries | elections.CATALOGUE.queries | evaluation.CATALOGUE.queries | feeds.CATALOGUE.queries
-SQL = problems.ORACLE | surveys.CATALOGUE.oracle | elections.CATALOGUE.oracle | evaluation.CATALOGUE.oracle | feeds.CATALOGUE.oracle
+QUERIES = problems.QUERIES | surveys.CATALOGUE.queries | elections.CATALOGUE.queries | evaluation.CATALOGUE.queries | feeds.CATALOGUE.queries | ingest.CATALOGUE.queries
+SQL = problems.ORACLE | surveys.CATALOGUE.oracle | elections.CATALOGUE.oracle | evaluation.CATALOGUE.oracle | feeds.CATALOGUE.oracle | ingest.CATALOGUE.oracle
 
 
 def plain(v):
