@@ -5,7 +5,10 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,8 +26,12 @@ TOP_N, SURE_COSINE = None, 0.55
 LINKAGE = 0.6
 #: A word that stands last in so large a share of the names (by its first three letters) tells no name apart: there are at most 1 / COMMON_SHARE of them.
 COMMON_SHARE = 0.01
-#: Names of one gram, or spellings of one group, that one task pairs with all of these; more are spread over tasks.
+#: Spellings of one group that one task pairs with all of these; more are spread over tasks.
 PAIRED_AT_ONCE = 1_000
+#: Most names in a block of the cosine join, each pair of blocks being a task, and the blocks that fewer names are cut into, as far as LEAST_NAMES names are in each.
+BLOCK_NAMES, BLOCKS, LEAST_NAMES = 50_000, 8, 4_000
+#: Pairs of names, and products of weights, that such a task holds at once.
+CELLS, PRODUCTS = 250_000, 500_000
 #: Components of likely pairs of so many names or fewer are linked whole, about BUCKET_ROWS rows of them in a task; larger ones are linked by joins.
 COMPONENT_NAMES, BUCKET_ROWS = 200, 20_000
 
@@ -95,28 +102,92 @@ def spread() -> Column:
     return F.ceil(F.count(F.lit(1)) / PAIRED_AT_ONCE)
 
 
+def near_rows(counts: np.ndarray, gram: np.ndarray, weight: np.ndarray, split: int, min_cosine: float, rest: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of rows with at least min_cosine, one of the first `split` rows and one of the others (of any two rows if there are no others), in parts.
+
+    Row after row, `counts` entries each, rarest first: gram is a number from 0, weight that of a unit vector. Weights are multiplied along the
+    indexed entries; the entries left out are looked up for the pairs that may still reach min_cosine.
+    """
+    n, n_grams = len(counts), int(gram.max()) + 1 if len(gram) else 0
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    row = np.repeat(np.arange(n), counts)
+    square = np.concatenate([[0.0], np.cumsum(weight * weight)])
+    indexed = 1 - (square[:-1] - square[ends[row]]) >= rest * rest
+    tail = np.sqrt(np.bincount(row[~indexed], weights=weight[~indexed] ** 2, minlength=n))
+    key = row * n_grams + gram
+    order = np.argsort(key)
+    sorted_key, sorted_weight, sorted_indexed = key[order], weight[order], indexed[order]
+
+    def rest_of(own: np.ndarray, other: np.ndarray, among_indexed: bool) -> np.ndarray:
+        """What the entries left out of each `own` row add to its product with `other`, over the latter's indexed entries alone or all."""
+        number = tails[own]
+        pair = np.repeat(np.arange(len(own)), number)
+        e = tail_entry[np.arange(len(pair)) + np.repeat(tail_start[own] - np.cumsum(number) + number, number)]
+        sought = other[pair] * n_grams + gram[e]
+        at = np.minimum(np.searchsorted(sorted_key, sought), len(sorted_key) - 1)
+        found = (sorted_key[at] == sought) & (sorted_indexed[at] | (not among_indexed))
+        return np.bincount(pair[found], weights=(weight[e] * sorted_weight[at])[found], minlength=len(own))
+
+    tail_entry = np.flatnonzero(~indexed)
+    tails = np.bincount(row[tail_entry], minlength=n)
+    tail_start = np.cumsum(tails) - tails
+    same, entry = split == n, np.flatnonzero(indexed)
+    listed = entry if same else entry[row[entry] >= split]
+    listed = listed[np.argsort(gram[listed], kind="stable")]  # by gram, then row
+    list_row, list_weight = row[listed], weight[listed]
+    length = np.bincount(gram[listed], minlength=n_grams)
+    start = np.cumsum(length) - length
+    products = np.concatenate([[0], np.cumsum(np.bincount(row[entry], weights=length[gram[entry]], minlength=n))])
+    entry_ends = np.concatenate([[0], np.cumsum(np.bincount(row[entry], minlength=n))])
+    first = 0
+    while first < split:
+        low = first if same else split  # rows before it have met all others
+        last = int(np.searchsorted(products, products[first] + PRODUCTS, "right")) - 1
+        last = min(split, max(first + 1, min(last, first + CELLS // max(1, n - low))))
+        e = entry[entry_ends[first] : entry_ends[last]]
+        number = length[gram[e]]
+        at = np.arange(number.sum()) + np.repeat(start[gram[e]] - np.cumsum(number) + number, number)
+        cell = np.repeat((row[e] - first) * (n - low) - low, number) + list_row[at]
+        part = np.bincount(cell, weights=np.repeat(weight[e], number) * list_weight[at], minlength=(last - first) * (n - low))
+        near = np.flatnonzero(part >= min_cosine - rest - 1e-9)
+        x, y, part = near // (n - low) + first, near % (n - low) + low, part[near]
+        keep = (x < y) & (part + np.maximum(tail[x], tail[y]) >= min_cosine - 1e-9)
+        x, y, part = x[keep], y[keep], part[keep]
+        cosine = part + rest_of(x, y, False) + rest_of(y, x, True)
+        keep = cosine >= min_cosine
+        yield x[keep], y[keep], cosine[keep]
+        if same:  # the lists go on without these rows
+            gone = np.bincount(gram[e], minlength=n_grams)
+            start, length = start + gone, length - gone
+        first = last
+
+
 def cosine_join(unit: DataFrame, min_cosine: float = MIN_COSINE, rest: float = INDEX_REST) -> DataFrame:
     """All pairs of vectors with at least min_cosine: (a, b, cosine), a < b; exact.
 
     Only a vector's rarer grams are indexed, down to a remainder of length `rest`: a pair above min_cosine has at
-    least min_cosine - rest in its indexed grams, so that common grams bring no pairs together and few
-    pairs are worked out in full.
+    least min_cosine - rest in its indexed grams, so that few pairs are worked out in full. Names that share a gram grow as
+    the square of the names: they are met within a task, for each pair of blocks of names, and only pairs above min_cosine leave it.
     """
-    rarest = Window.partitionBy("id").orderBy("df", "gram")
-    left = 1 - F.coalesce(F.sum(F.col("weight") * F.col("weight")).over(rarest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    index = unit.withColumn("left", left).where(F.col("left") >= rest * rest).select("id", "gram", "weight")
-    index = index.join(index.groupBy("gram").agg(spread().alias("slots")).where("slots > 1"), "gram", "left").withColumn("slots", F.coalesce("slots", F.lit(1)))
-    x = index.withColumn("slot", F.pmod(F.xxhash64("id"), F.col("slots"))).alias("x")
-    y = index.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1))).alias("y")
-    near = (
-        x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.slot") == F.col("y.slot")) & (F.col("x.id") < F.col("y.id")))
-        .groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.sum(F.col("x.weight") * F.col("y.weight")).alias("part"))
-        .where(F.col("part") >= min_cosine - rest - 1e-9).select("a", "b")
-    )
-    full = unit.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("gram", "weight"))).alias("v"))  # as many entries as the name has grams
-    both = near.join(full.select(F.col("id").alias("a"), F.col("v").alias("va")), "a").join(full.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b")
-    dot = F.aggregate(F.map_entries("va"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at("vb", e["key"]), F.lit(0.0)))
-    return both.select("a", "b", dot.alias("cosine")).where(F.col("cosine") >= min_cosine)
+    entries = F.sort_array(F.collect_list(F.struct("df", "gram", "weight")))  # as many as the name has grams
+    names = checkpoint(unit.groupBy("id").agg(entries.alias("v")).select("id", F.col("v.gram").alias("grams"), F.col("v.weight").alias("weights")))
+    n = names.count()
+    blocks = max(1, min(BLOCKS, n // LEAST_NAMES), -(-n // BLOCK_NAMES))
+    own, other = F.col("own"), F.col("other")
+    sent = names.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    sent = sent.select(F.least(own, other).alias("x"), F.greatest(own, other).alias("y"), (own > other).alias("second"), "id", "grams", "weights")
+
+    def run(table: pa.Table) -> pa.Table:
+        same = table["x"][0] == table["y"][0]
+        table = table.sort_by("second")
+        ids, split = table["id"].to_numpy(), len(table) if same else len(table) - pc.sum(table["second"]).as_py()
+        gram = pc.dictionary_encode(pc.list_flatten(table["grams"]).combine_chunks())
+        parts = near_rows(pc.list_value_length(table["grams"]).to_numpy().astype(np.int64), gram.indices.to_numpy().astype(np.int64), pc.list_flatten(table["weights"]).to_numpy(), split, min_cosine, rest)
+        x, y, cosine = (np.concatenate(part) for part in zip((ids[:0], ids[:0], np.zeros(0)), *((ids[x], ids[y], c) for x, y, c in parts)))
+        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y), "cosine": cosine})
+
+    tasks = blocks * (blocks + 1) // 2
+    return sent.repartition(tasks, "x", "y").groupBy("x", "y").applyInArrow(run, "a long, b long, cosine double")
 
 
 def top_partners(pairs: DataFrame, n: int | None = TOP_N, sure: float = SURE_COSINE) -> DataFrame:
@@ -329,7 +400,7 @@ def spellings(rows: DataFrame, column: str) -> DataFrame:
     forms = checkpoint(checkpoint(values.groupBy("form").agg(F.sum("n").alias("mass"))).withColumn("id", F.monotonically_increasing_id()))
     linkable = forms.where(~F.col("form").startswith("="))
     common = common_endings(linkable)
-    unit = checkpoint(vectors(gram_counts(linkable, common), max(1, linkable.count())))
+    unit = vectors(gram_counts(linkable, common), max(1, linkable.count()))
     pairs = likenesses(top_partners(cosine_join(unit)), linkable, common)
     clusters = average_linkage(forms.select("id", "mass"), pairs)
     return values.join(forms.select("form", "id"), "form").join(clusters, "id").select("value", "form", "cluster")

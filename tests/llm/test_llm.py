@@ -301,6 +301,36 @@ def test_cosine_join_equals_brute_force(spark, monkeypatch):
     assert found == pytest.approx(expected)
 
 
+def test_cosine_join_of_blocks_equals_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    raw = rng.random((70, 30)) * (rng.random((70, 30)) < 0.2)
+    raw[:, 0] += 0.05  # one gram that all share
+    unit = raw / np.sqrt((raw * raw).sum(1, keepdims=True))
+    df = (raw > 0).sum(0)
+    rows = [(i, f"g{g}", int(df[g]), float(unit[i, g])) for i in range(70) for g in range(30) if unit[i, g]]
+    table = spark.createDataFrame(rows, "id long, gram string, df long, weight double")
+    dot = unit @ unit.T
+    expected = {(a, b): dot[a, b] for a in range(70) for b in range(a + 1, 70) if dot[a, b] >= 0.3}
+    for block_names, cells in ((1_000, 250_000), (1_000, 100), (25, 100)):
+        monkeypatch.setattr(spelling, "BLOCK_NAMES", block_names)
+        monkeypatch.setattr(spelling, "CELLS", cells)
+        assert {(r.a, r.b): r.cosine for r in spelling.cosine_join(table).collect()} == pytest.approx(expected)
+    assert spelling.cosine_join(table.limit(0)).count() == 0
+
+
+def test_cosine_join_shuffles_no_pairs_below_the_bound(spark):
+    names = 900  # all share a gram, so 404,550 pairs meet; two and two are alike
+    rows = [x for i in range(names) for x in ((i, f"own{i // 2}", 2, 0.97), (i, "all", names, (1 - 0.97**2) ** 0.5))]
+    table = spark.createDataFrame(rows, "id long, gram string, df long, weight double")
+    settle = lambda: spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    written = lambda: sum(x.totalShuffleWrite() for x in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().statusStore().executorList(False)))
+    settle()
+    before = written()
+    assert spelling.cosine_join(table).count() == names // 2
+    settle()
+    assert written() - before < 300_000  # bytes
+
+
 def test_components_reach_along_paths_of_any_length(spark):
     ids = random.Random(3).sample(range(1000), 60)
     chain = [(min(x), max(x)) for x in zip(ids[:40], ids[1:40])]
