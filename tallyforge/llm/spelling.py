@@ -29,7 +29,7 @@ COMMON_SHARE = 0.01
 #: Spellings of one group that one task pairs with all of these; more are spread over tasks.
 PAIRED_AT_ONCE = 1_000
 #: Most names in a block of the cosine join, each pair of blocks being a task, and the blocks that fewer names are cut into, as far as LEAST_NAMES names are in each.
-BLOCK_NAMES, BLOCKS, LEAST_NAMES = 50_000, 8, 4_000
+BLOCK_NAMES, BLOCKS, LEAST_NAMES = 80_000, 8, 4_000
 #: Pairs of names, and products of weights, that such a task holds at once.
 CELLS, PRODUCTS = 250_000, 500_000
 #: Components of likely pairs of so many names or fewer are linked whole, about BUCKET_ROWS rows of them in a task; larger ones are linked by joins.
